@@ -1,0 +1 @@
+"""Operators for building training data out of document corpora."""
