@@ -75,14 +75,18 @@ def decision_tree(value: Column, bounds: list, lower: int = 0, compare: Callable
 
 
 class Memo(dict):
-    """A dict that works out missing entries and starts anew beyond a bound, so a worker's memory stays bounded."""
+    """A dict that works out missing entries; of two generations the older goes, so a worker's memory stays bounded."""
 
     def __init__(self, work: Callable, bound: int = 400_000):
         super().__init__()
-        self.work, self.bound = work, bound
+        self.work, self.bound, self.older = work, bound // 2, {}
 
     def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.work(key)
         if len(self) >= self.bound:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.work(key)
+        self[key] = value
         return value
