@@ -9,10 +9,21 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from lexmill.llm import bytebpe, piececount, simhash, tokenfile
+from lexmill.llm import bytebpe, piececount, quality, secrets, shards, simhash, tokenfile
 from lexmill.session import table
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = secrets.train(secrets.random_samples(spark).unionAll(secrets.ordinary_samples(docs)))
+    return secrets.scan(docs, model).drop("text")
+
+
+def op4_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return shards.shard_digest(docs, 40)
+
+
 def op5_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piececount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -27,15 +38,25 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = quality.judge(docs, table(spark, sf_dir, "labels"))
+    counts = [F.col(f"_q.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return judged.select("doc_id", *counts, F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"), F.col("_rule").alias("rule"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_secrets": op3_secrets,
+        "op4_histogram_sort": op4_histogram_sort,
         "op5_piece_counts": op5_piece_counts,
         "op6_token_file": op6_token_file,
         "op8_simhash": op8_simhash,
+        "op9_decision_list": op9_decision_list,
         "op10_byte_bpe": op10_byte_bpe,
     }
 
