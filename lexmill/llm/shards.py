@@ -62,37 +62,40 @@ def find_splitters(rows: DataFrame, shards: int, tolerance: float = 0.001) -> li
     total = rows.agg(F.sum("_size")).first()[0] or 0
     slack = tolerance * total / shards
     # an open boundary lies in the interval of keys that share `depth` bits, with `below` bytes before it
-    spans = {j: (0, 0) for j in range(1, shards)}  # value of the shared bits, bytes below
-    goals = {j: total * j / shards for j in spans}
+    goals = {j: total * j / shards for j in range(1, shards)}
+    spans = {j: (0, 0, 0) for j in goals}  # value of the shared bits, depth, below
     done: dict[int, int] = {}
-    last: dict[int, tuple[int, int, int]] = {}  # boundary: value, depth, below
-    depth = 0
+    last: dict[int, tuple[int, int, int]] = {}
     while spans:
+        depth = min(d for _, d, _ in spans.values())
         n = ROUND_BITS[0] if depth == 0 else ROUND_BITS[1]
         n = min(n, 64 - depth if depth < 64 else 128 - depth)
         key, at = ("_k1", depth) if depth < 64 else ("_k2", depth - 64)
-        prefixes = sorted({v for v, _ in spans.values()})
+        now = {j: x for j, x in spans.items() if x[1] == depth}
+        prefixes = sorted({v for v, _, _ in now.values()})
         groups = [(_prefix_number(prefixes, depth) if depth else F.lit(0)).alias("prefix"), _bits(key, at, n).alias("slot")]
-        by: dict[int, list[tuple[int, int, int]]] = {}
-        for r in rows.select(*groups, "_size").where("prefix is not null").groupBy("prefix", "slot").agg(F.sum("_size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect():
-            by.setdefault(prefixes[r["prefix"]], []).append((r["slot"], r["bytes"], r["n"]))
-        following = {}
-        for j, (value, below) in spans.items():
+        counts = rows.select(*groups, "_size", "_k1").where("prefix is not null").groupBy("prefix", "slot").agg(F.sum("_size").alias("bytes"), F.count(F.lit(1)).alias("n"), F.min("_k1").alias("least"), F.max("_k1").alias("most"))
+        by: dict[int, list] = {}
+        for r in counts.collect():
+            by.setdefault(prefixes[r["prefix"]], []).append(r)
+        for j, (value, _, below) in now.items():
+            del spans[j]
             done[j] = 1 << 128
-            for slot, size, count in sorted(by.get(value, [])):
-                lower = (value << n) | slot
-                if below + size < goals[j]:
-                    below += size
+            for r in sorted(by.get(value, []), key=lambda r: r["slot"]):
+                lower = (value << n) | r["slot"]
+                if below + r["bytes"] < goals[j]:
+                    below += r["bytes"]
                     continue
-                before, after = goals[j] - below, below + size - goals[j]
+                before, after = goals[j] - below, below + r["bytes"] - goals[j]
                 done[j] = (lower if before <= after else lower + 1) << (128 - depth - n)
                 if min(before, after) > slack and depth + n < 128:
-                    if count <= FEW:
+                    if r["n"] <= FEW:
                         last[j] = (lower, depth + n, below)
+                    elif depth < 64 and r["least"] == r["most"]:  # copies of one text: on to their doc_ids
+                        spans[j] = (_unsigned(r["least"]), 64, below)
                     else:
-                        following[j] = (lower, below)
+                        spans[j] = (lower, depth + n, below)
                 break
-        spans, depth = following, depth + n
     for at_depth in {d for _, d, _ in last.values()}:
         prefixes = sorted({v for v, d, _ in last.values() if d == at_depth})
         sizes: dict[int, list[tuple[int, int]]] = {}
