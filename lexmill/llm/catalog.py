@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from lexmill.llm import bytebpe, piececount, quality, secrets, shards, simhash, tokenfile
+from lexmill.llm import bytebpe, mixing, piececount, quality, secrets, shards, simhash, tokenfile
 from lexmill.session import table
 
 
+def op1_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_digest(table(spark, sf_dir, "documents"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = secrets.train(secrets.random_samples(spark).unionAll(secrets.ordinary_samples(docs)))
@@ -51,6 +55,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_entropy_mix": op1_entropy_mix,
         "op3_secrets": op3_secrets,
         "op4_histogram_sort": op4_histogram_sort,
         "op5_piece_counts": op5_piece_counts,
