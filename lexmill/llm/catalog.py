@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from lexmill.llm import bytebpe, mixing, piececount, quality, secrets, shards, simhash, tokenfile
+from lexmill.llm import bytebpe, language, mixing, piececount, projections, quality, secrets, shards, simhash, tokenfile
 from lexmill.session import table
 
 
@@ -17,6 +17,12 @@ def op1_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = language.held_out_fold(table(spark, sf_dir, "documents"))
+    taught = docs.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1).select("doc_id", "text", "lang")
+    return language.predict(docs, language.train(taught), ("doc_id", "held_out"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = secrets.train(secrets.random_samples(spark).unionAll(secrets.ordinary_samples(docs)))
@@ -37,6 +43,10 @@ def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_token_file(file)
 
 
+def op7_collision_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projections.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -56,10 +66,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_entropy_mix": op1_entropy_mix,
+        "op2_language_centroids": op2_language_centroids,
         "op3_secrets": op3_secrets,
         "op4_histogram_sort": op4_histogram_sort,
         "op5_piece_counts": op5_piece_counts,
         "op6_token_file": op6_token_file,
+        "op7_collision_counts": op7_collision_counts,
         "op8_simhash": op8_simhash,
         "op9_decision_list": op9_decision_list,
         "op10_byte_bpe": op10_byte_bpe,
