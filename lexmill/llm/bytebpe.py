@@ -142,30 +142,48 @@ def loaded(path: str, pattern: str) -> ByteBpe:
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, ids binary, decoded binary): packed ids of every whole text and the bytes that they decode to.
+    """(doc_id, ids, decoded): packed ids of every whole text, and the bytes that they decode to.
 
     A null or empty text has no ids and decodes to no bytes; repeated rows and null ids stay as they are; extra
-    columns are ignored. The files of the vocabulary must be at `path` on every executor.
+    columns are ignored. The file of the vocabulary must be at `path` on every executor.
     """
-    return _coded(docs, path, pattern, "doc_id long, ids binary, decoded binary", lambda ids, back: [pa.array(ids, pa.binary()), pa.array(back, pa.binary())])
+    return _coded(docs, path, pattern, {"ids": "binary", "decoded": "binary"})
 
 
 def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of what encode_documents() gives, worked out where it is made."""
-    sha = lambda values: pa.array([hashlib.sha256(v).hexdigest() for v in values], pa.string())
-    return _coded(docs, path, pattern, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", lambda ids, back: [pa.array([len(v) // 4 for v in ids], pa.int64()), sha(ids), sha(back)])
+    return _coded(docs, path, pattern, {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"})
 
 
-def _coded(docs: DataFrame, path: str, pattern: str, schema: str, columns) -> DataFrame:
-    names = [c.split()[0] for c in schema.split(", ")]
+def encode_with_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids)."""
+    return _coded(docs, path, pattern, {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string", "ids": "binary"})
 
+
+def _sha256(values: list[bytes]) -> pa.Array:
+    return pa.array([hashlib.sha256(v).hexdigest() for v in values], pa.string())
+
+
+#: Each column from the packed ids and the decoded bytes of a few documents.
+COLUMNS = {
+    "n_tokens": lambda ids, decoded: pa.array([len(v) // 4 for v in ids], pa.int64()),
+    "ids_sha256": lambda ids, decoded: _sha256(ids),
+    "decoded_sha256": lambda ids, decoded: _sha256(decoded),
+    "ids": lambda ids, decoded: pa.array(ids, pa.binary()),
+    "decoded": lambda ids, decoded: pa.array(decoded, pa.binary()),
+}
+
+
+def _coded(docs: DataFrame, path: str, pattern: str, columns: dict[str, str]) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = loaded(path, pattern)
         for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                batch = whole.slice(start, 500)
+            for start in range(0, whole.num_rows, 200):
+                batch = whole.slice(start, 200)
                 ids = [coder.encode(t) if t else b"" for t in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns(ids, map(coder.decode, ids) if names[1] != "ids" else [coder.decode(v) for v in ids])], names)
+                decoded = [coder.decode(v) for v in ids]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(COLUMNS[c](ids, decoded) for c in columns)], ["doc_id", *columns])
 
     ship(docs.sparkSession)
+    schema = ", ".join(["doc_id long", *(f"{c} {kind}" for c, kind in columns.items())])
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, schema)
