@@ -1,22 +1,25 @@
-"""Queries over the driver tables and their DuckDB equivalents."""
+"""All queries over the driver tables, and the flagship query."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lexmill.session import table
+from lexmill.plans import documents, lookups
+from lexmill.plans.registry import ORACLES, QUERIES, Tables
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"))
+    return documents.c01_topic_coverage(Tables(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
+
+
+__all__ = ["documents", "flagship", "lookups", "oracle_sql", "queries"]
