@@ -27,7 +27,7 @@ def op2_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = secrets.train(secrets.random_samples(spark).unionAll(secrets.ordinary_samples(docs)))
-    return secrets.scan(docs, model).drop("text")
+    return secrets.scan(docs, model)
 
 
 def op4_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,6 +60,17 @@ def ship(spark: SparkSession) -> None:
     context._lexmill_shipped = True
 
 
+def packed(docs: DataFrame, *names: str) -> DataFrame:
+    """The named columns beside _row, a struct of all columns: whatever else docs has cannot clash with an operator's own names."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return docs.select(F.struct(*columns).alias("_row"), *(F.col(f"`{n}`") for n in names))
+
+
+def unpacked(rows: DataFrame, *more: str) -> DataFrame:
+    """The columns that packed() put away, and more of the operator's own."""
+    return rows.select("_row.*", *more)
+
+
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if its counted rows are within the limit, else as it is."""
     return F.broadcast(df) if rows <= limit else df

@@ -16,11 +16,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import WORD, save, ship, small
+from lexmill.llm.common import WORD, packed, save, ship, small, unpacked
 
 #: Documents of one cell that are put in order at once, about, when only some of them get a further copy.
 SLICE = 64
 
+#: The tilt of a source whose target is nothing.
+NEVER = -1e9
+
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
@@ -32,8 +35,9 @@ def _key(source: Column) -> Column:
 
 
 def _measured(docs: DataFrame) -> DataFrame:
-    """docs with _s (source key), _n (words) and _h (hash that orders documents of a cell)."""
-    return docs.withColumns({"_s": _key(F.col("source")), "_n": word_count(F.col("text")), "_h": F.xxhash64(F.col("doc_id"), F.col("text").cast("string"))})
+    """_row (all columns), doc_id, source, _s (source key), _n (words) and _h (hash that orders documents of a cell)."""
+    rows = packed(docs, "doc_id", "source", "text")
+    return rows.select("_row", "doc_id", "source", _key(F.col("source")).alias("_s"), word_count(F.col("text")).alias("_n"), F.xxhash64(F.col("doc_id"), F.col("text").cast("string")).alias("_h"))
 
 
 def cyclic_weights(sources: DataFrame, cycle: int = 3) -> DataFrame:
@@ -71,8 +75,8 @@ def _solve(hist: DataFrame, sources: DataFrame, most: float, tolerance: float =
     hist: (_s, _n, n). A source whose target is its limit gets a null tilt: all of its documents have `most` copies.
     """
     state = save(
-        sources.withColumns({"scale": F.col("size") / F.col("n_docs"), "tilt": F.when((F.col("size") > 0) & (F.col("target") < most * F.col("size") * (1 - 1e-12)), F.log(F.greatest(F.col("target"), F.lit(1e-9)) / F.col("size")))})
-        .select("_s", "target", "scale", "tilt", F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.col("tilt").isNull().alias("done")), "state")
+        sources.withColumns({"scale": F.col("size") / F.col("n_docs"), "tilt": F.when((F.col("size") > 0) & (F.col("target") <= 0), F.lit(NEVER)).when((F.col("size") > 0) & (F.col("target") < most * F.col("size") * (1 - 1e-12)), F.log(F.col("target") / F.col("size")))})
+        .select("_s", "target", "scale", "tilt", F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), (F.col("tilt").isNull() | (F.col("tilt") == NEVER)).alias("done")), "state")
     n_sources = state.count()
     for _ in range(rounds):
         if state.where("not done").isEmpty():
@@ -82,10 +86,10 @@ def _solve(hist: DataFrame, sources: DataFrame, most: float, tolerance: float =
         rate = F.exp(F.least(F.col("tilt") * x, F.log(F.lit(most))))
         words = F.col("n") * F.col("_n") * rate
         sums = hist.join(small(open_rows, n_sources), "_s").groupBy("_s").agg(F.sum(words).alias("g"), F.sum(F.when(F.col("tilt") * x < F.log(F.lit(most)), words * x)).alias("dg"))
-        gap = F.log(F.col("g") / F.greatest("target", F.lit(1e-9)))
+        gap = F.log(F.greatest("g", F.lit(1e-300)) / F.col("target"))
         low = F.when(gap < 0, F.col("tilt")).otherwise(F.col("low"))
         high = F.when(gap > 0, F.col("tilt")).otherwise(F.col("high"))
-        newton = F.col("tilt") - gap * F.col("g") / F.col("dg")
+        newton = F.col("tilt") - F.try_divide(gap * F.col("g"), F.col("dg"))
         spread = F.greatest(F.abs("tilt"), F.lit(1.0))
         halved = F.coalesce((low + high) / 2, low + spread, high - spread)
         inside = (newton > F.coalesce(low, F.lit(float("-inf")))) & (newton < F.coalesce(high, F.lit(float("inf")))) & (F.abs(newton - F.col("tilt")) <= 4 * spread)
@@ -173,8 +177,8 @@ def mix_digest(docs: DataFrame, weights: DataFrame | None = None, most: int = 3)
 
 
 def mix_documents(docs: DataFrame, weights: DataFrame | None = None, most: int = 3) -> DataFrame:
-    """docs with each document as often as the mix takes it; columns as they were, but for names beginning _s, _n, _h."""
+    """docs with each document as often as the mix takes it, with all of its columns."""
     kept = save(_measured(docs).select("source", "_s", "_n", "_h"), "measured")
     plan = plan_mix(kept, weights or cyclic_weights(kept.select("source").distinct()), most)
     mixed = apply_plan(_measured(docs), plan.drop("source_size", "target")).where("copies > 0")
-    return mixed.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_copy")).drop("_copy")
+    return unpacked(mixed.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_copy")))

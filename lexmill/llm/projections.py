@@ -78,9 +78,15 @@ def calibrate(dim: int, cosine: float, count: int, recall: float = 0.999, seed:
 
 def usable_vectors(table: DataFrame) -> DataFrame:
     """(vec_id, label, v) of rows that may link: label not null, vector with finite components, one of them not zero."""
+    return numbered_vectors(table).where(F.col("rep").isNotNull())
+
+
+def numbered_vectors(table: DataFrame) -> DataFrame:
+    """(vec_id, label, v, rep) of every row; rep, the number of its class, is null where it links with nothing."""
     v = F.transform("embedding", lambda x: x.cast("double"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return table.select(F.col("vec_id").cast("long").alias("vec_id"), "label", v.alias("v")).where(F.col("label").isNotNull() & F.col("v").isNotNull()).where(finite & F.exists("v", lambda x: x != 0))
+    links = F.col("label").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0)
+    return table.select(F.col("vec_id").cast("long").alias("vec_id"), "label", v.alias("v")).withColumn("rep", F.when(F.coalesce(links, F.lit(False)), F.xxhash64("label", "v")))
 
 
 def _unit(column: pa.Array, dim: int) -> np.ndarray:
@@ -138,18 +144,16 @@ def near_vectors(table: DataFrame, cosine: float = 0.93, recall: float = 0.999)
     """
     spark = table.sparkSession
     ship(spark)
-    rows = save(usable_vectors(table).withColumn("h", F.xxhash64(F.transform("v", lambda x: x + F.lit(0.0)))), "vectors")
-    # a class: label and vector; its number is a hash of both, confirmed by grouping on the vector itself
-    classes = save(rows.groupBy("label", "v").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("members")).withColumn("rep", F.xxhash64("label", "v")), "classes")
+    # a class is a label and a vector; its number is a hash of both
+    classes = save(usable_vectors(table).groupBy("label", "v").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("members")).withColumn("rep", F.xxhash64("label", "v")), "classes")
     shapes = classes.groupBy(F.size("v").alias("dim"), "label").count().groupBy("dim").agg(F.max("count").alias("most")).collect()  # one row for each length of vector
     found = None
     for shape in shapes:
         part = _links_of(classes.where(F.size("v") == shape["dim"]), shape["dim"], shape["most"], cosine, recall)
         found = part if found is None else found.unionAll(part)
-    every = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    numbered = every.withColumn("rep", F.xxhash64("label", "v"))
+    numbered = numbered_vectors(table).select("vec_id", "rep")
     if found is None:
-        return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+        return numbered.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     links = save(found, "links")
     sizes = classes.select(F.col("rep").alias("b"), F.col("members"))
     both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -14,7 +14,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import WORD, decision_tree, save, small
+from lexmill.llm.common import WORD, decision_tree, packed, save, small, unpacked
 
 #: Bits of a packed window that hold its place; the rest hold a hash, and equal hashes are confirmed word by word.
 PLACE_BITS = 26
@@ -210,17 +210,22 @@ def _qualified(sql: str, q: str) -> str:
     return re.sub(r"\b(n_words|word_chars|n_symbols|n_dup_lines|n_repeat_words|n_shout)\b", rf"{q}.\1", sql)
 
 
+def _rated(rows: DataFrame, rules: list[Rule]) -> DataFrame:
+    rated = with_statistics(rows).withColumn("_base_failed", base_failed())
+    return rated.withColumn("_rule", F.when(F.col("_base_failed"), F.lit(0)).otherwise(verdict(rules))).withColumn("_kept", ~F.col("_base_failed") & (F.col("_rule") == 0))
+
+
 def judge(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """docs with columns _q (statistics), _base_failed, _rule (number of the rejecting rule or 0) and _kept.
+    """(doc_id, _q, _base_failed, _rule, _kept) of every row: statistics, the number of the rejecting rule or 0, the verdict.
 
-    A null text counts as empty and fails the base rule; repeated rows are judged alike; extra columns stay; an empty
-    table gives an empty result.
+    A null text counts as empty and fails the base rule; repeated rows are judged alike; other columns are dropped; an
+    empty table gives an empty result.
     """
-    rules = learn_rules(docs, labels, **options)
-    rated = with_statistics(docs).withColumn("_base_failed", base_failed())
-    return rated.withColumn("_rule", F.when(F.col("_base_failed"), F.lit(0)).otherwise(verdict(rules))).withColumn("_kept", ~F.col("_base_failed") & (F.col("_rule") == 0))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _rated(rows, learn_rules(docs, labels, **options)).drop("text")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that neither the base rule nor a learned rule rejects, with their columns."""
-    return judge(docs, labels, **options).where("_kept").select(*docs.columns)
+    """The documents that neither the base rule nor a learned rule rejects, with all of their columns."""
+    rules = learn_rules(docs, labels, **options)
+    return unpacked(_rated(packed(docs, "text"), rules).where("_kept"))

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import save
+from lexmill.llm.common import packed, save
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-="
 
@@ -155,18 +155,17 @@ def written(spans: Column) -> Column:
 
 
 def scan(docs: DataFrame, model: MarkovModel) -> DataFrame:
-    """docs with n_assign, n_access, n_hex, n_markov, base_sha256 and spans in place of the arrays of with_spans()."""
-    marked = with_spans(docs, model)
+    """(doc_id, n_assign, n_access, n_hex, n_markov, base_sha256, spans) of every row."""
+    marked = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
     of = lambda k: F.size(F.filter("_base", lambda x: x["kind"] == k)).cast("long")
-    return marked.withColumns({
-        "n_assign": of(0), "n_access": of(1), "n_hex": of(2), "n_markov": F.size("_added").cast("long"),
-        "base_sha256": F.sha2(written(F.col("_base")), 256), "spans": written(F.array_sort(F.concat("_base", "_added"))),
-    }).drop("_base", "_added")
+    return marked.select(
+        "doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.size("_added").cast("long").alias("n_markov"),
+        F.sha2(written(F.col("_base")), 256).alias("base_sha256"), written(F.array_sort(F.concat("_base", "_added"))).alias("spans"))
 
 
 def redact(docs: DataFrame, model: MarkovModel, mask: str = "[SECRET]") -> DataFrame:
     """docs with every span of the text replaced by a mask and n_chars, where there is one, brought up to date."""
-    marked = with_spans(docs, model).withColumn("_all", F.array_sort(F.concat("_base", "_added")))
+    marked = with_spans(packed(docs, "text"), model).withColumn("_all", F.array_sort(F.concat("_base", "_added")))
 
     def step(acc: Column, x: Column) -> Column:
         fresh = x["start"] >= acc["at"]
@@ -176,7 +175,6 @@ def redact(docs: DataFrame, model: MarkovModel, mask: str = "[SECRET]") -> DataF
     tail = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
     clean = F.aggregate("_all", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, tail)
     changed = F.size("_all") > 0
-    out = marked.withColumn("text", F.when(changed, clean).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    out = marked.select("_row", changed.alias("_changed"), F.when(changed, clean).otherwise(F.col("text")).alias("_clean"))
+    new = {"text": F.col("_clean"), "n_chars": F.when(F.col("_changed"), F.length("_clean").cast("long")).otherwise(F.col("_row.n_chars")) if "n_chars" in docs.columns else None}
+    return out.select(*(new[c].alias(c) if c in new else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import decision_tree, save
+from lexmill.llm.common import decision_tree, packed, save, unpacked
 
 #: Bits of the key that one round of probes settles; a first round has 4096 intervals.
 ROUND_BITS = (12, 8)
@@ -32,10 +32,10 @@ class Splitter:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs with _size, _k1 and _k2; a null text has no bytes, a null doc_id is ordered by the text alone."""
+    """_row (all columns), doc_id, text, _size, _k1 and _k2; a null text has no bytes, a null doc_id is ordered by the text alone."""
     text = F.col("text").cast("string")
     k1 = F.xxhash64(text, F.lit(4))
-    return docs.withColumns({"_size": (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long"), "_k1": k1, "_k2": F.xxhash64(F.col("doc_id").cast("long"), k1)})
+    return packed(docs, "doc_id", "text").withColumns({"_size": (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long"), "_k1": k1, "_k2": F.xxhash64(F.col("doc_id").cast("long"), k1)})
 
 
 def _bits(key: str, first: int, n: int) -> Column:
@@ -155,11 +155,10 @@ def shard_documents(docs: DataFrame, shards: int, tolerance: float = 0.001) -> D
     for columns named size, shard or slot, which are replaced; an empty table gives an empty result. Boundaries
     are within `tolerance` of a shard's bytes or, where single documents are larger, at the nearest document.
     """
-    docs = docs.drop("size", "shard", "slot")
-    rows = keyed(docs)
+    rows = keyed(docs.drop("size", "shard", "slot")).drop("doc_id", "text")
     keys = save(rows.select("_size", "_k1", "_k2"), "keys")
     out = numbered(rows, find_splitters(keys, shards, tolerance), keys.count())
-    return out.select(*docs.columns, F.col("_size").alias("size"), "shard", "slot")
+    return unpacked(out, F.col("_size").alias("size"), "shard", "slot")
 
 
 def write_shards(docs: DataFrame, shards: int, path: str) -> None:
