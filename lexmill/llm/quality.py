@@ -117,7 +117,9 @@ def _labelled(docs: DataFrame, labels: DataFrame, max_labels: int) -> DataFrame:
     place = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000))
     sample = save(known.where(place < int(1e6 * min(1.0, max_labels / max(total, 1)))).select("doc_id", (F.col("q") == 0).alias("bad")).limit(2 * max_labels), "labels")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(sample, 2 * max_labels), "doc_id")
-    stats = with_statistics(texts).where(~base_failed()).select("doc_id", "bad", "_q.*")
+    # written before anything else reads them, so that each text is measured once
+    measured = save(with_statistics(texts).select("doc_id", "bad", "_q"), "measured")
+    stats = measured.where(~base_failed()).select("doc_id", "bad", "_q.*")
     features = stats.select("doc_id", "bad", *(F.expr(e).cast("double").alias(f) for f, e in FEATURES.items()))
     return save(features.select("bad", (F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(3)) == 0).alias("prune"), *FEATURES), "statistics")
 
@@ -228,4 +230,6 @@ def judge(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that neither the base rule nor a learned rule rejects, with all of their columns."""
     rules = learn_rules(docs, labels, **options)
-    return unpacked(_rated(packed(docs, "text"), rules).where("_kept"))
+    # a filter on a column that is not deterministic stays above the statistics instead of repeating them
+    rated = _rated(packed(docs, "text"), rules).select("_row", "_kept", F.monotonically_increasing_id().alias("_place"))
+    return unpacked(rated.where(F.col("_kept") & (F.col("_place") >= 0)))
