@@ -91,6 +91,11 @@ def chain_keys(start: int, length: int):
     return key
 
 
+def _differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of signed fingerprints; the sign bit counts like any other, which needs unsigned numbers."""
+    return np.bitwise_count((x ^ y).view(np.uint64))
+
+
 def _forest(fp: np.ndarray, own: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """A spanning forest of the links of one key: links have at least one end that wrote its own chain."""
     left, links = np.arange(len(fp)), []
@@ -101,7 +106,7 @@ def _forest(fp: np.ndarray, own: np.ndarray, distance: int) -> list[tuple[int, i
             by = np.zeros(len(left), dtype=np.int64)
             for k in range(0, len(front), 64):
                 some = front[k : k + 64]
-                hit = (np.bitwise_count(fp[some][:, None] ^ fp[left][None, :]) <= distance) & (own[some][:, None] | own[left][None, :])
+                hit = (_differing(fp[some][:, None], fp[left][None, :]) <= distance) & (own[some][:, None] | own[left][None, :])
                 any_hit = hit.any(axis=0) & ~near
                 by[any_hit] = some[hit[:, any_hit].argmax(axis=0)]
                 near |= any_hit
@@ -127,7 +132,7 @@ def _links(distance: int):
                     break
                 at = np.repeat(s, n - d) + np.arange((n - d).sum()) - np.repeat(np.cumsum(n - d) - (n - d), n - d)
                 x, y = fp[at], fp[at + d]
-                good = (x != y) & (own[at] | own[at + d]) & (np.bitwise_count(x ^ y) <= distance)
+                good = (x != y) & (own[at] | own[at + d]) & (_differing(x, y) <= distance)
                 found += zip(x[good].tolist(), y[good].tolist(), strict=True)
             for k in np.flatnonzero(size > 8):
                 g = slice(starts[k], ends[k])
