@@ -75,18 +75,18 @@ def _solve(hist: DataFrame, sources: DataFrame, most: float, tolerance: float =
     hist: (_s, _n, n). A source whose target is its limit gets a null tilt: all of its documents have `most` copies.
     """
     state = save(
-        sources.withColumns({"scale": F.col("size") / F.col("n_docs"), "tilt": F.when((F.col("size") > 0) & (F.col("target") <= 0), F.lit(NEVER)).when((F.col("size") > 0) & (F.col("target") < most * F.col("size") * (1 - 1e-12)), F.log(F.col("target") / F.col("size")))})
+        sources.withColumns({"scale": F.try_divide(F.col("size").cast("double"), F.col("n_docs")), "tilt": F.when((F.col("size") > 0) & (F.col("target") <= 0), F.lit(NEVER)).when((F.col("size") > 0) & (F.col("target") < most * F.col("size") * (1 - 1e-12)), F.log(F.try_divide(F.col("target"), F.col("size").cast("double"))))})
         .select("_s", "target", "scale", "tilt", F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), (F.col("tilt").isNull() | (F.col("tilt") == NEVER)).alias("done")), "state")
     n_sources = state.count()
     for _ in range(rounds):
         if state.where("not done").isEmpty():
             break
         open_rows = state.where("not done")
-        x = F.col("_n") / F.col("scale")
+        x = F.try_divide(F.col("_n").cast("double"), F.col("scale"))
         rate = F.exp(F.least(F.col("tilt") * x, F.log(F.lit(most))))
         words = F.col("n") * F.col("_n") * rate
         sums = hist.join(small(open_rows, n_sources), "_s").groupBy("_s").agg(F.sum(words).alias("g"), F.sum(F.when(F.col("tilt") * x < F.log(F.lit(most)), words * x)).alias("dg"))
-        gap = F.log(F.greatest("g", F.lit(1e-300)) / F.col("target"))
+        gap = F.log(F.try_divide(F.greatest("g", F.lit(1e-300)), F.col("target")))
         low = F.when(gap < 0, F.col("tilt")).otherwise(F.col("low"))
         high = F.when(gap > 0, F.col("tilt")).otherwise(F.col("high"))
         newton = F.col("tilt") - F.try_divide(gap * F.col("g"), F.col("dg"))
@@ -131,7 +131,7 @@ def plan_mix(measured: DataFrame, weights: DataFrame, most: int = 3) -> DataFram
     sources = save(water_fill(save(sizes.join(weights, "_s", "left").fillna(0.0, ["weight"]), "sources"), float(most)), "targets")
     n_sources = sources.count()
     solved = _solve(hist, sources, float(most))
-    x = F.col("_n") / F.col("scale")
+    x = F.try_divide(F.col("_n").cast("double"), F.col("scale"))
     rate = F.when(F.col("tilt").isNull(), F.lit(float(most))).otherwise(F.exp(F.least(F.col("tilt") * x, F.log(F.lit(float(most))))))
     rated = hist.join(small(solved, n_sources), "_s").select("_s", "_n", "n", rate.alias("rate"))
     # a source's cells are its distinct sizes: a histogram, however many documents it stands for
