@@ -18,6 +18,11 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def has_keyword(lowered: Column, keyword: str, short: int = 6) -> Column:
     """Keywords under `short` letters match as whole words, longer ones anywhere, so that inflected compounds match."""
     if len(keyword) >= short:
@@ -118,7 +123,7 @@ def content_hash(parts: list[Column] | Column, sep: str = "", stripped: bool = F
     """SHA-256 of parts (columns or one array column) joined by sep; stripped drops blank parts."""
     array = parts if isinstance(parts, Column) else F.array(*(F.coalesce(p, F.lit("")) for p in parts))
     if stripped:
-        array = F.filter(F.transform(array, F.trim), lambda x: x != "")
+        array = F.filter(F.transform(array, lambda x: strip(x)), lambda x: x != "")
     return F.sha2(F.array_join(array, sep), 256)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import let, matches
+from lexmill.functions.text import let, matches, strip
 
 
 def pack(parts: Column, limit: int, sep: str) -> Column:
@@ -23,7 +23,7 @@ def pack(parts: Column, limit: int, sep: str) -> Column:
 def chunks(text: Column, limit: int = 500) -> Column:
     """Chunks of at most limit letters: lines, within long lines sentences, within long sentences hard slices; packed with spaces."""
     hard = lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.length(s) - 1) / limit).cast("int")), lambda i: F.substring(s, i * limit + 1, F.lit(limit)))
-    filled = lambda a: F.filter(F.transform(a, F.trim), lambda x: x != "")
+    filled = lambda a: F.filter(F.transform(a, lambda x: strip(x)), lambda x: x != "")
     sentences = lambda line: F.flatten(F.transform(filled(F.split(line, r"(?<=[.!?])\s+")), lambda s: F.when(F.length(s) > limit, hard(s)).otherwise(F.array(s))))
     parts = F.flatten(F.transform(filled(F.split(text, "\n")), lambda x: F.when(F.length(x) > limit, sentences(x)).otherwise(F.array(x))))
     return F.when(F.length(text) <= limit, F.array(text)).otherwise(let(parts, lambda p: pack(p, limit, " ")))
@@ -32,7 +32,7 @@ def chunks(text: Column, limit: int = 500) -> Column:
 def pages(text: Column, limit: int = 900) -> Column:
     """Pages of at most limit letters: blocks between blank lines, or sentences where there is none; an oversize block is a page of its own."""
     blocks = F.when(text.contains("\n\n"), F.split(text, "\n\n")).otherwise(F.split(text, r"(?<=\.) "))
-    filled = F.filter(F.transform(blocks, F.trim), lambda x: x != "")
+    filled = F.filter(F.transform(blocks, lambda x: strip(x)), lambda x: x != "")
     return let(filled, lambda p: pack(p, limit, "\n\n"))
 
 
@@ -60,6 +60,6 @@ def clauses(docs: DataFrame, key: str, text: str, least: int = 100, most: int =
     found = F.filter(matches(F.col(text), CLAUSE_HEADER, 2), lambda m: ~m["g"][2].rlike(r"(\.{3,}|\s)\s*\d+\s*$") & ~F.trim(m["g"][2]).rlike(r"^[:)]"))
     rows = docs.select(key, F.col(text).alias("_text"), found.alias("_m")).select(key, "_text", "_m", F.posexplode("_m").alias("ord", "h"))
     end = F.coalesce(F.get(F.col("_m"), F.col("ord") + 1)["start"], F.length("_text"))
-    body = F.trim(F.substring(F.col("_text"), F.col("h.end") + 1, F.least(end - F.col("h.end"), F.lit(most))))
+    body = strip(F.substring(F.col("_text"), F.col("h.end") + 1, F.least(end - F.col("h.end"), F.lit(most))))
     out = rows.select(key, "ord", F.col("h.g")[1].alias("number"), F.trim(F.col("h.g")[2]).alias("title"), body.alias("body"), F.col("h.start").alias("start"))
     return out.where(F.length("body") >= least)

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import excerpt, let, matches, squeeze
+from lexmill.functions.text import excerpt, let, matches, squeeze, strip
 from lexmill.functions.values import NUMBER_WORDS, dmy, locale_decimal, number_word
 
 # The wordings of the source language that rates are read from. In Java's notation, groups by number.
@@ -79,12 +79,12 @@ def _tiers(context: Column | str, hours: Column, tier1: Column, tier2: Column, s
 def mom_segments(text: Column) -> Column:
     """array<struct<title,body>>: the family of headers with the most filled titles cuts the text; without any it is one segment."""
     families = [matches(text, PATTERNS[p], 1) for p in ("head_before", "head_after", "head_above")]
-    filled = [F.size(F.filter(f, lambda m: F.trim(m["g"][1]) != "")) for f in families]
+    filled = [F.size(F.filter(f, lambda m: strip(m["g"][1]) != "")) for f in families]
     best = F.when((filled[0] >= filled[1]) & (filled[0] >= filled[2]), families[0]).when(filled[1] >= filled[2], families[1]).otherwise(families[2])
 
     def cut(found: Column) -> Column:
         end = lambda i: F.coalesce(F.get(found, i + 1)["start"], F.length(text))
-        return F.transform(found, lambda m, i: F.struct(F.trim(m["g"][1]).alias("title"), F.trim(F.substring(text, m["start"] + 1, end(i) - m["start"])).alias("body")))
+        return F.transform(found, lambda m, i: F.struct(strip(m["g"][1]).alias("title"), strip(F.substring(text, m["start"] + 1, end(i) - m["start"])).alias("body")))
 
     return let(best, lambda f: F.when(F.size(f) > 0, cut(f)).otherwise(F.array(F.struct(F.lit("").alias("title"), text.alias("body")))))
 
@@ -177,7 +177,7 @@ def annual_leave(text: Column) -> Column:
     def tables(found: Column) -> Column:
         def rows(m: Column, t: Column) -> Column:
             source = excerpt(text, m["start"], m["end"], before=100)
-            return F.transform(F.split(F.trim(m["g"][1]), r"\s+"), lambda d, i: _row("annual_leave_days", locale_decimal(d), "days", source, F.concat(F.lit("taulukko"), t + 1, F.lit("_m"), month(i + 1))))
+            return F.transform(F.split(strip(m["g"][1]), r"\s+"), lambda d, i: _row("annual_leave_days", locale_decimal(d), "days", source, F.concat(F.lit("taulukko"), t + 1, F.lit("_m"), month(i + 1))))
 
         in_order = (F.size(labels) == 0) | (labels == F.array(F.lit("1"), F.lit("2"), F.lit("3")))
         return F.when((F.size(found) == 3) & in_order, F.flatten(F.transform(found, rows))).otherwise(F.array().cast(ROW))
