@@ -61,12 +61,12 @@ def c03_noise_title(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", classify.title_without_noise(title, F.col("text"), RULES, ["the "]).alias("topic"))
 
 
-@query(f"""with t as ({topic_sql('text')}), o as (select md5(text) as h, case when min(doc_id) % 2 = 0 then 'wages' end as topic from documents where doc_id % 10 = 0 group by text),
+@query(f"""with t as ({topic_sql('text')}), o as (select md5(text) as h, case when min(quality) = 1 then 'wages' end as topic from documents join labels using (doc_id) group by text),
 n as (select d.doc_id, d.lang as topic, case when o.h is not null then o.topic else t.topic end as new_topic from documents d left join t using (doc_id) left join o on o.h = md5(d.text))
 select doc_id, new_topic, case when new_topic is not null and new_topic = 'overtime' then 'unknown_topic' when new_topic is not distinct from topic then 'unchanged' when new_topic is null then 'unlinked' else 'linked' end as outcome from n""")
 def c04_relink(t: Tables) -> DataFrame:
     clauses = t.documents.select("doc_id", F.lit("a").alias("agreement_key"), "text", F.col("lang").alias("topic"))
-    fixed = t.documents.where("doc_id % 10 = 0").groupBy("text").agg(F.min("doc_id").alias("k")).select(F.lit("a").alias("agreement_key"), F.md5("text").alias("text_hash"), F.when(F.col("k") % 2 == 0, "wages").alias("topic"))
+    fixed = t.documents.join(t.labels, "doc_id").groupBy(F.md5("text").alias("text_hash")).agg(F.min("quality").alias("q")).select(F.lit("a").alias("agreement_key"), "text_hash", F.when(F.col("q") == 1, "wages").alias("topic"))
     known = t.spark.createDataFrame([("contract",), ("leave",), ("wages",)], "topic string")
     return classify.relink(clauses, fixed, RULES, known).select("doc_id", "new_topic", "outcome")
 
@@ -143,10 +143,10 @@ def c12_pager(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.posexplode(chunks.pages(F.col("text"))).alias("pos", "page"))
 
 
-@query("select d.doc_id, (l.quality is null or sha256(d.text) <> sha256(substring(d.text, 1, 500))) as needed from documents d left join labels l using (doc_id)")
+@query("select d.doc_id, (l.quality is null or sha256(d.text) <> sha256(lower(d.text))) as needed from documents d left join labels l using (doc_id)")
 def c13_needs_translation(t: Tables) -> DataFrame:
     joined = t.documents.join(t.labels.select("doc_id", "quality"), "doc_id", "left")
-    drift = text.content_hash([F.col("text")]) != text.content_hash([F.substring("text", 1, 500)])
+    drift = text.content_hash([F.col("text")]) != text.content_hash([F.lower("text")])
     return joined.select("doc_id", (F.col("quality").isNull() | drift).alias("needed"))
 
 
@@ -194,9 +194,9 @@ def h_after_label(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", text.after_label(F.col("text")).alias("rest"), F.substring("text", 1, 20).alias("head"))
 
 
-@query("select page_id, replace(replace(replace(replace(replace(substring(html, 1, 400), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') as safe from pages")
+@query("select page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') as safe from pages")
 def h_html_escape(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", text.html_escape(F.substring("html", 1, 400)).alias("safe"))
+    return t.pages.select("page_id", text.html_escape(F.col("html")).alias("safe"))
 
 
 @query("select o_orderkey, cast(round(o_totalprice * 100) as bigint) as cents, strftime(o_orderdate, '%Y-%m-%d') as day, null::varchar as bad from orders")
@@ -219,19 +219,19 @@ def h_number_words(t: Tables) -> DataFrame:
     return t.events.select("event_id", values.number_word(word).alias("n"))
 
 
-@query("""with a as (select doc_id, md5(text) as h from documents where doc_id % 7 <> 0), b as (select doc_id, md5(case when doc_id % 5 = 0 then text || '!' else text end) as h from documents where doc_id % 11 <> 0)
+@query("""with a as (select doc_id, md5(text) as h from documents where source <> 'src3'), b as (select doc_id, md5(case when lang = 'fr' then text || '!' else text end) as h from documents where source <> 'src5')
 select coalesce(a.doc_id, b.doc_id) as doc_id, case when a.doc_id is null then 'created' when b.doc_id is null then 'absent' when a.h = b.h then 'unchanged' else 'updated' end as status from a full join b on a.doc_id = b.doc_id""")
 def w01_hash_diff(t: Tables) -> DataFrame:
-    a = t.documents.where("doc_id % 7 <> 0").select("doc_id", F.md5("text").alias("h"))
-    b = t.documents.where("doc_id % 11 <> 0").select("doc_id", F.md5(F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("h"))
+    a = t.documents.where("source <> 'src3'").select("doc_id", F.md5("text").alias("h"))
+    b = t.documents.where("source <> 'src5'").select("doc_id", F.md5(F.when(F.col("lang") == "fr", F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("h"))
     return merge.hash_diff(a, b, ["doc_id"], "h")
 
 
-@query("""with a as (select doc_id, md5(text) as h, lang as title, 'x' as translated from documents where doc_id % 7 <> 0), b as (select doc_id, md5(case when doc_id % 5 = 0 then text || '!' else text end) as h, source as title from documents where doc_id % 11 <> 0)
+@query("""with a as (select doc_id, md5(text) as h, lang as title, 'x' as translated from documents where source <> 'src3'), b as (select doc_id, md5(case when lang = 'fr' then text || '!' else text end) as h, source as title from documents where source <> 'src5')
 select coalesce(a.doc_id, b.doc_id) as doc_id, coalesce(case when b.doc_id is not null then b.h end, a.h) as h, case when b.doc_id is not null then b.title else a.title end as title, case when b.doc_id is null or a.h = b.h then a.translated end as translated from a full join b on a.doc_id = b.doc_id""")
 def w02_upsert(t: Tables) -> DataFrame:
-    a = t.documents.where("doc_id % 7 <> 0").select("doc_id", F.md5("text").alias("h"), F.col("lang").alias("title"), F.lit("x").alias("translated"))
-    b = t.documents.where("doc_id % 11 <> 0").select("doc_id", F.md5(F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("h"), F.col("source").alias("title"))
+    a = t.documents.where("source <> 'src3'").select("doc_id", F.md5("text").alias("h"), F.col("lang").alias("title"), F.lit("x").alias("translated"))
+    b = t.documents.where("source <> 'src5'").select("doc_id", F.md5(F.when(F.col("lang") == "fr", F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("h"), F.col("source").alias("title"))
     return merge.upsert(a, b, ["doc_id"], "h", always=["title"], reset=["translated"])
 
 
@@ -256,9 +256,9 @@ def w05_merge_outcomes(t: Tables) -> DataFrame:
     return outcomes.groupBy("l_orderkey", "l_linenumber").agg(*counts, F.max(F.struct(*order)).alias("b")).select("l_orderkey", "l_linenumber", "created", "updated", "skipped", F.col("b.l_quantity").alias("value"))
 
 
-@query("""select doc_id, coalesce(quality, -1) as quality from (select d.doc_id, case when l.quality is not null then l.quality when d.doc_id % 2 = 0 then 1 end as quality from documents d left join labels l using (doc_id))""")
+@query("""select doc_id, coalesce(quality, -1) as quality from (select d.doc_id, case when l.quality is not null then l.quality when d.lang = 'en' then 1 end as quality from documents d left join labels l using (doc_id))""")
 def w09_fill_and_insert(t: Tables) -> DataFrame:
-    new = t.documents.select("doc_id", F.when(F.col("doc_id") % 2 == 0, 1).alias("quality"))
+    new = t.documents.select("doc_id", F.when(F.col("lang") == "en", 1).alias("quality"))
     merged = merge.fill_nulls(t.labels.select("doc_id", "quality"), new, ["doc_id"], ["quality"])
     return merged.select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"))
 
@@ -275,9 +275,9 @@ def w12_propagate(t: Tables) -> DataFrame:
     return inference.translate_values(t.documents.select("doc_id", "source"), "source", "label", load)
 
 
-@query("select o_orderkey, case when o_custkey % 3 = 0 then null else o_custkey end as o_custkey from orders")
+@query("select o_orderkey, case when c_acctbal >= 0 then o_custkey end as o_custkey from orders join customer on o_custkey = c_custkey")
 def w14_set_null(t: Tables) -> DataFrame:
-    return merge.set_null(t.orders.select("o_orderkey", "o_custkey"), t.customer.where("c_custkey % 3 <> 0"), "o_custkey", "c_custkey")
+    return merge.set_null(t.orders.select("o_orderkey", "o_custkey"), t.customer.where("c_acctbal >= 0"), "o_custkey", "c_custkey")
 
 
 def clause_texts(t: Tables) -> DataFrame:
