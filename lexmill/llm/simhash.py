@@ -215,7 +215,11 @@ def drop_near_copies(docs: DataFrame, width: int = 4, distance: int = 4) -> Data
 
     Where the surviving doc_id is on several rows, one of them stays.
     """
-    groups = save(simhash_groups(docs, width, distance), "groups")
+    return keep_first(docs, save(simhash_groups(docs, width, distance), "groups"))
+
+
+def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """docs without the documents whose component_id in groups is another doc_id, as drop_near_copies has it."""
     gone = save(groups.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     kept = docs.join(small(gone, gone.count()), "doc_id", "left_anti")
     repeated = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
