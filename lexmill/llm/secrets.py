@@ -86,28 +86,71 @@ def random_samples(spark, n: int = 4000) -> DataFrame:
     return spark.range(n).select(F.explode(F.array(*forms)).alias("token"), F.lit(True).alias("secret"))
 
 
+def _number(k: int, width: int, of: Column, least: int = 0, most: int | None = None) -> Column:
+    """A number of `width` digits with leading zeros, by the hash of a column; from least to most where most is given."""
+    span = 10**width if most is None else most - least + 1
+    return F.lpad((F.pmod(F.xxhash64(F.lit(k), of), F.lit(span)) + least).cast("string"), width, "0")
+
+
+def _date(k: int, sep: str, of: Column) -> Column:
+    return F.concat_ws(sep, _number(k, 4, of, 1900, 2099), _number(k + 1, 2, of, 1, 12), _number(k + 2, 2, of, 1, 31))
+
+
+def numeric_samples(spark, n: int = 4000) -> DataFrame:
+    """(token, secret): dates, times, counters, versions, ISBN, phone and other numbers, made from hashes."""
+    of = F.col("id")
+    num = lambda k, width: _number(k, width, of)
+    time = F.concat_ws("-", _number(3, 2, of, 0, 23), _number(4, 2, of, 0, 59), _number(5, 2, of, 0, 59))
+    isbn = F.concat_ws("-", F.lit("978"), num(10, 1), num(11, 2), num(12, 6), num(13, 1))
+    phone = F.concat_ws("-", F.concat(F.lit("+"), _number(14, 2, of, 1, 99)), num(15, 2), num(16, 3), num(17, 4))
+    version = F.concat(F.lit("v"), F.concat_ws("-", _number(18, 1, of), _number(19, 2, of, 0, 40), _number(20, 1, of)))
+    first = F.pmod(F.xxhash64(F.lit(21), of), F.lit(10)).cast("int")
+    running = lambda step: F.substring(F.repeat(F.lit("0123456789" if step > 0 else "9876543210"), 5), first + 1, 20 + F.pmod(F.xxhash64(F.lit(22), of), F.lit(15)).cast("int"))
+    forms = [
+        F.concat_ws("/", _date(0, "-", of), _date(30, "-", of)), F.concat_ws("/", _date(0, "/", of), _date(30, "/", of)), F.concat_ws("_", _date(0, "-", of), time), F.concat(_date(0, "", of), F.lit("T"), F.replace(time, F.lit("-"), F.lit("")), F.lit("Z-"), num(6, 4)),
+        F.concat(_date(0, "-", of), F.lit("T"), time, F.lit("+0"), num(6, 1), F.lit("00")), F.concat(_date(0, "-", of), F.lit("--"), _date(30, "-", of)), F.concat_ws("_", _date(0, "_", of), time, num(6, 3)), F.concat_ws("-", _date(0, "", of), num(6, 6), num(7, 6)),
+        F.concat(num(6, 15), num(7, 15)), F.concat(num(6, 12), num(7, 8)), F.concat_ws("-", num(6, 4), num(7, 4), num(8, 4), num(9, 4), num(10, 4)), F.concat_ws("/", num(6, 8), num(7, 7), num(8, 6)), F.concat_ws("_", num(6, 10), num(7, 10)), F.lpad(num(6, 5), 24, "0"),
+        running(1), running(-1), F.concat_ws("-", isbn, num(6, 4)), F.concat_ws("/", isbn, num(6, 5)), F.concat_ws("/", phone, num(6, 4)), F.concat_ws("-", phone, num(6, 6)), F.concat_ws("_", version, _date(0, "-", of), num(6, 4)), F.concat_ws("-", version, version, num(6, 8)),
+        F.concat_ws("+", num(6, 7), num(7, 7), num(8, 7)), F.concat_ws("=", num(6, 9), F.concat_ws("+", num(7, 8), num(8, 8))),
+    ]
+    return spark.range(n).select(F.explode(F.array(*forms)).alias("token"), F.lit(False).alias("secret"))
+
+
 def ordinary_samples(docs: DataFrame, max_docs: int = 2000) -> DataFrame:
-    """(token, secret): words of a bounded sample of documents (by hash of the text), alone and joined as identifiers are."""
+    """(token, secret): words of a bounded sample of documents (by hash of the text), alone and joined as
+    identifiers are, some with numbers made from their hashes; and numeric_samples."""
     share = max_docs / max(docs.count(), 1)
     text = F.col("text").cast("string")
     place = F.pmod(F.xxhash64(F.col("text"), F.lit(3)), F.lit(1_000_000))
-    # tokens with digits stay out: they may be the very secrets in question
+    # tokens of the texts with digits stay out, as they may be the very secrets in question; made ones take their place
     words = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{3,}(?![A-Za-z0-9+/_=-])"), F.lit(0)))
     sample = docs.where(text.isNotNull() & (place < int(1e6 * min(1.0, share)))).limit(2 * max_docs).select(words.alias("w"))
     lower = lambda i: F.lower(F.col("w")[i])
     forms = lambda i: F.array(F.col("w")[i], F.concat(lower(i), lower(i + 1)), F.concat_ws("_", lower(i), lower(i + 1), lower(i + 2)), F.concat(lower(i), F.initcap(lower(i + 1))), F.concat_ws("-", lower(i), lower(i + 1)), F.upper(F.concat_ws("_", lower(i), lower(i + 1))), F.concat_ws("/", lower(i), lower(i + 1), lower(i + 2)))
-    joined = F.transform(F.sequence(F.lit(0), F.least(F.size("w"), F.lit(60)) - 3), forms)
+
+    def numbered(i: Column) -> Column:
+        a, b, c = (lower(i + k) for k in range(3))
+        num = lambda k, width: _number(k, width, F.col("w")[i])
+        date = lambda sep: _date(0, sep, F.col("w")[i])
+        slug = F.concat_ws("-", a, b, c)
+        return F.array(
+            F.concat(F.lit("/"), date("/"), F.lit("/"), slug), F.concat(F.lit("/"), F.concat_ws("/", a, num(6, 8), b)), F.concat_ws("/", a, b, num(6, 5), num(7, 3)), F.concat_ws("-", date("-"), a, b), F.concat_ws("-", slug, num(6, 4)), F.concat_ws("_", a, b, date("-")), F.concat_ws("_", date(""), a, num(6, 3)),
+            F.concat(a, num(6, 2), F.lit("_"), b, num(7, 4)), F.concat(a, F.initcap(b), num(6, 3)), F.concat(F.upper(a), F.lit("-"), date("-"), F.lit("-"), num(6, 6)), F.concat(F.upper(F.concat_ws("_", a, b)), F.lit("_"), num(6, 4)), F.concat_ws("-", a, F.concat(F.lit("v"), num(6, 1)), num(7, 2), num(8, 1), b),
+            F.concat_ws("-", F.initcap(a), F.initcap(b), num(6, 2), date("-")), F.concat(a, F.lit("="), num(6, 6), F.lit("/"), b, F.lit("="), num(7, 4)))
+
+    joined = F.transform(F.sequence(F.lit(0), F.least(F.size("w"), F.lit(60)) - 3), lambda i: F.when(i % 4 == 0, F.concat(forms(i), numbered(i))).otherwise(forms(i)))
     found = sample.where(F.size("w") >= 3).select(F.explode(F.flatten(joined)).alias("token"), F.lit(False).alias("secret"))
     # rulers and fillers: one letter again and again
     rulers = docs.sparkSession.range(len(ALPHABET)).select(F.repeat(F.substring(F.lit(ALPHABET), F.col("id").cast("int") + 1, F.lit(1)), F.lit(2000)).alias("token"), F.lit(False).alias("secret"))
-    return found.unionAll(rulers)
+    return found.unionAll(rulers).unionAll(numeric_samples(docs.sparkSession))
 
 
 def train(samples: DataFrame, margin: float = 0.15) -> MarkovModel:
     """A model from labelled samples (token, secret); tokens of under two letters and letters outside ALPHABET are ignored.
 
     Two thirds of the ordinary samples and all random ones train; the threshold lies `margin` above the mean
-    ratio that 9999 of 10000 held-out ordinary samples of SHORTEST letters or more stay below, and at least at margin.
+    ratio that 9999 of 10000 held-out ordinary samples of SHORTEST letters or more stay below, of those with digits and
+    of those without, and at least at margin.
     """
     letters = len(ALPHABET)
     known = save(samples.where(F.col("token").isNotNull() & F.col("secret").isNotNull() & F.col("token").rlike("^[A-Za-z0-9+/_=-]{2,}$")).select("token", "secret", (F.pmod(F.xxhash64("token"), F.lit(3)) == 0).alias("held")), "samples")
@@ -127,8 +170,8 @@ def train(samples: DataFrame, margin: float = 0.15) -> MarkovModel:
     ratios = tuple(a - b for a, b in zip(log_rates(seen[True]), log_rates(seen[False]), strict=True))
     model = MarkovModel(ratios, 0.0)
     held = known.where("held and not secret").where(F.length("token") >= SHORTEST)
-    high = held.agg(F.percentile_approx(model.mean_ratio(F.col("token")), 0.9999, 10_000)).first()[0]
-    return MarkovModel(ratios, margin + max(0.0, high or 0.0))
+    high = held.groupBy(F.col("token").rlike("[0-9]")).agg(F.percentile_approx(model.mean_ratio(F.col("token")), 0.9999, 10_000)).collect()
+    return MarkovModel(ratios, margin + max([0.0, *(row[1] for row in high)]))
 
 
 def with_spans(docs: DataFrame, model: MarkovModel) -> DataFrame:

@@ -260,3 +260,14 @@ def test_languages_of_held_out_texts(spark, awkward, nothing):
     assert language.predict(nothing, model).collect() == []
     assert language.train(nothing) is None
     assert {r.lang_pred for r in language.predict(awkward, None).collect()} == {"und"}
+
+
+def test_dates_numbers_and_paths_are_no_secrets(spark, model):
+    clean = ["2024-01-01/2024-12-31", "1234567890123456789012", "978-3-16-148410-0-0000", "/2021/04/17/how-to-fix-the-bridge", "/article/12345678/index", "2023-11-05-meeting-notes"]
+    clean += ["1998-07-04_23-59-59", "+358-40-123-4567-8910", "invoice_2023_000123_final", "release-v1-12-3-candidate", "00000000000000000001234", "20240101T120000Z-0001", "Meeting-Room-12-2024-03-01"]
+    rng = random.Random(9)
+    secret = ["".join(rng.choices(string.ascii_letters + string.digits + "+/", k=32)) for _ in range(40)]
+    rows = spark.createDataFrame([(k, f"see {t} here") for k, t in enumerate([*clean, *secret])], "doc_id long, text string")
+    found = {r.doc_id: r.n_markov for r in secrets.scan(rows, model).collect()}
+    assert [clean[k] for k in range(len(clean)) if found[k]] == []
+    assert sum(found[len(clean) + k] > 0 for k in range(40)) >= 39
