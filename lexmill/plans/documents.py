@@ -150,7 +150,7 @@ def c13_needs_translation(t: Tables) -> DataFrame:
     return joined.select("doc_id", (F.col("quality").isNull() | drift).alias("needed"))
 
 
-CLAUSES = "concat('Intro ', doc_id, chr(10), '1 § Scope ... 3', chr(10), '1 § Scope', chr(10), rpad(text, 120, 'x'), chr(10), '2 § Terms', chr(10), 'short', chr(10), '3 § Pay', chr(10), rpad(text, 200, 'y'))"
+CLAUSES = "concat('Intro ', doc_id, chr(10), '1 § Scope ... 3', chr(10), '1 § Scope', chr(10), concat(text, repeat('x', greatest(0, 120 - length(text)))), chr(10), '2 § Terms', chr(10), 'short', chr(10), '3 § Pay', chr(10), concat(text, repeat('y', greatest(0, 200 - length(text)))))"
 
 
 @query()
