@@ -116,15 +116,20 @@ def numeric_samples(spark, n: int = 4000) -> DataFrame:
     return spark.range(n).select(F.explode(F.array(*forms)).alias("token"), F.lit(False).alias("secret"))
 
 
-def ordinary_samples(docs: DataFrame, max_docs: int = 2000) -> DataFrame:
-    """(token, secret): words of a bounded sample of documents (by hash of the text), alone and joined as
-    identifiers are, some with numbers made from their hashes; and numeric_samples."""
-    share = max_docs / max(docs.count(), 1)
+def ordinary_samples(docs: DataFrame, max_docs: int = 2000, max_words: int = 60) -> DataFrame:
+    """(token, secret): words alone and joined as identifiers are, some with numbers made from their hashes; and numeric_samples.
+
+    About max_docs distinct texts give the words, at most 2 * max_docs, those of the least hashes; of the distinct words of
+    a whole text max_words go in, those of the least hashes.
+    """
     text = F.col("text").cast("string")
-    place = F.pmod(F.xxhash64(F.col("text"), F.lit(3)), F.lit(1_000_000))
+    place = F.xxhash64(text, F.lit(3))
+    share = max_docs / max(docs.agg(F.approx_count_distinct(place)).first()[0], 1)
     # tokens of the texts with digits stay out, as they may be the very secrets in question; made ones take their place
     words = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{3,}(?![A-Za-z0-9+/_=-])"), F.lit(0)))
-    sample = docs.where(text.isNotNull() & (place < int(1e6 * min(1.0, share)))).limit(2 * max_docs).select(words.alias("w"))
+    some = docs.where(text.isNotNull() & (F.pmod(place, F.lit(1_000_000)) < math.ceil(1e6 * min(1.0, share))))
+    chosen = F.transform(F.slice(F.array_sort(F.transform(words, lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x")))), 1, max_words), lambda x: x["x"])
+    sample = some.select(place.alias("place"), chosen.alias("w")).groupBy("place").agg(F.min("w").alias("w")).orderBy("place").limit(2 * max_docs)
     lower = lambda i: F.lower(F.col("w")[i])
     forms = lambda i: F.array(F.col("w")[i], F.concat(lower(i), lower(i + 1)), F.concat_ws("_", lower(i), lower(i + 1), lower(i + 2)), F.concat(lower(i), F.initcap(lower(i + 1))), F.concat_ws("-", lower(i), lower(i + 1)), F.upper(F.concat_ws("_", lower(i), lower(i + 1))), F.concat_ws("/", lower(i), lower(i + 1), lower(i + 2)))
 
@@ -138,7 +143,7 @@ def ordinary_samples(docs: DataFrame, max_docs: int = 2000) -> DataFrame:
             F.concat(a, num(6, 2), F.lit("_"), b, num(7, 4)), F.concat(a, F.initcap(b), num(6, 3)), F.concat(F.upper(a), F.lit("-"), date("-"), F.lit("-"), num(6, 6)), F.concat(F.upper(F.concat_ws("_", a, b)), F.lit("_"), num(6, 4)), F.concat_ws("-", a, F.concat(F.lit("v"), num(6, 1)), num(7, 2), num(8, 1), b),
             F.concat_ws("-", F.initcap(a), F.initcap(b), num(6, 2), date("-")), F.concat(a, F.lit("="), num(6, 6), F.lit("/"), b, F.lit("="), num(7, 4)))
 
-    joined = F.transform(F.sequence(F.lit(0), F.least(F.size("w"), F.lit(60)) - 3), lambda i: F.when(i % 4 == 0, F.concat(forms(i), numbered(i))).otherwise(forms(i)))
+    joined = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.when(i % 4 == 0, F.concat(forms(i), numbered(i))).otherwise(forms(i)))
     found = sample.where(F.size("w") >= 3).select(F.explode(F.flatten(joined)).alias("token"), F.lit(False).alias("secret"))
     # rulers and fillers: one letter again and again
     rulers = docs.sparkSession.range(len(ALPHABET)).select(F.repeat(F.substring(F.lit(ALPHABET), F.col("id").cast("int") + 1, F.lit(1)), F.lit(2000)).alias("token"), F.lit(False).alias("secret"))

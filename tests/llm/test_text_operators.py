@@ -271,3 +271,14 @@ def test_dates_numbers_and_paths_are_no_secrets(spark, model):
     found = {r.doc_id: r.n_markov for r in secrets.scan(rows, model).collect()}
     assert [clean[k] for k in range(len(clean)) if found[k]] == []
     assert sum(found[len(clean) + k] > 0 for k in range(40)) >= 39
+
+
+def test_ordinary_samples_come_from_distinct_texts_as_a_whole(spark):
+    words = [f"{a}{b}{c}" for a in ("stone", "river", "cloud") for b in ("gate", "path", "hill", "ford") for c in string.ascii_lowercase]
+    rows = [(k, " ".join(words[k::10]), "en", "s") for k in range(10)]
+    once, more = documents(spark, rows), documents(spark, rows + [(100 + k, rows[0][1], "en", "s") for k in range(50)])
+    tokens = lambda docs, **how: sorted(r.token for r in secrets.ordinary_samples(docs, **how).collect())
+    assert tokens(once) == tokens(more)
+    long = documents(spark, [(1, " ".join(words), "en", "s")])
+    used = set(tokens(long)) & set(words)
+    assert len(used) == 58 and used & set(words[60:])
