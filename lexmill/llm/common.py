@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -21,26 +23,51 @@ BROADCAST_ROWS = 500_000
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; only where it is unset (tests), a local one."""
+    """This application's part of the shared folder of the cluster; only where none is set (tests), of a local one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = f"file://{tempfile.gettempdir()}/checkpoints"
-    return f"{root.rstrip('/')}/lexmill"
+    return f"{root.rstrip('/')}/lexmill/{spark.sparkContext.applicationId}"
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet below the shared folder and read it back: a cut of the lineage that survives lost executors."""
+    """Write df as Parquet below the shared folder and read it back: a cut of the lineage that survives lost executors.
+
+    The tables go when the driver's process ends, or with drop_scratch().
+    """
     spark = df.sparkSession
+    _drop_at_exit(spark)
     path = f"{scratch_root(spark)}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_scratch(spark: SparkSession) -> None:
-    """Delete every scratch table of this root; call it when no result is in use any more."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete every scratch table of this application; call it when no result is in use any more."""
+    _delete(spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), scratch_root(spark))
+
+
+def _delete(jvm, conf, root: str) -> None:
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(conf).delete(path, True)
+
+
+_KNOWN: set[str] = set()
+
+
+def _drop_at_exit(spark: SparkSession) -> None:
+    root = scratch_root(spark)
+    if root not in _KNOWN:
+        _KNOWN.add(root)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+        def drop():
+            try:
+                _delete(jvm, conf, root)
+            except Exception as e:  # the JVM may be gone already
+                print(f"scratch tables left at {root}: {type(e).__name__}", file=sys.stderr)
+
+        atexit.register(drop)
 
 
 def ship(spark: SparkSession) -> None:
@@ -85,19 +112,46 @@ def decision_tree(value: Column, bounds: list, lower: int = 0, compare: Callable
     return F.when(compare(value, bounds[mid]), decision_tree(value, bounds[:mid], lower, compare)).otherwise(decision_tree(value, bounds[mid + 1 :], lower + mid + 1, compare))
 
 
+def prefix(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """An array whose k-th entry joins the first k + 1 entries of values: a sum, or a greatest or least value.
+
+    The scan doubles its reach in each round, so the work is n log n however long the array is; a fold that appends to an
+    array would copy it at every step.
+    """
+    rounds = F.sequence(F.lit(0), F.greatest(F.ceil(F.log2(F.size(values))).cast("int"), F.lit(0)))
+
+    def double(acc: Column, r: Column) -> Column:
+        reach = F.call_function("shiftleft", F.lit(1), r)
+        return F.transform(acc, lambda v, i: F.when(i >= reach, join(v, F.get(acc, i - reach))).otherwise(v))
+
+    return F.when(F.size(values) > 1, F.aggregate(rounds, values, double)).otherwise(values)
+
+
+#: What an entry of a dict costs besides its key and value, about.
+ENTRY_BYTES = 110
+
+
 class Memo(dict):
-    """A dict that works out missing entries; of two generations the older goes, so a worker's memory stays bounded."""
+    """A dict that works out missing entries; of two generations the older goes, so a worker's memory stays bounded.
+
+    It holds at most `bound` entries and about `most_bytes` of keys and values; texts of more than `longest` letters
+    are worked out each time.
+    """
 
-    def __init__(self, work: Callable, bound: int = 400_000):
+    def __init__(self, work: Callable, bound: int = 400_000, most_bytes: int = 64 << 20, longest: int = 64):
         super().__init__()
-        self.work, self.bound, self.older = work, bound // 2, {}
+        self.work, self.bound, self.most_bytes, self.longest = work, bound // 2, most_bytes // 2, longest
+        self.older, self.bytes = {}, 0
 
     def __missing__(self, key):
         value = self.older.get(key)
         if value is None:
             value = self.work(key)
-        if len(self) >= self.bound:
-            self.older = dict(self)
+            if isinstance(key, (str, bytes)) and len(key) > self.longest:
+                return value
+        if len(self) >= self.bound or self.bytes >= self.most_bytes:
+            self.older, self.bytes = dict(self), 0
             self.clear()
         self[key] = value
+        self.bytes += sys.getsizeof(key) + sys.getsizeof(value) + ENTRY_BYTES
         return value
