@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import packed, save
+from lexmill.llm.common import packed, prefix, save
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-="
 
@@ -38,31 +38,46 @@ def _let(value: Column, body) -> Column:
 def _spans(text: Column, pattern: str, kind: int, keep=None, group: int = 0) -> Column:
     """All leftmost matches as (start, kind, end) in code points; keep() tests a match's group.
 
-    Spark gives matches without their places; these follow from the lengths of the pieces between them.
+    Spark gives matches without their places; these are prefix sums of the lengths of matches and of the pieces between
+    them, in time that is nearly linear in the text.
     """
 
     def placed(found: Column) -> Column:
-        pieces = F.split(text, pattern, -1)
         held = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-        # (text before the match, match, tested group) in order
-        parts = F.slice(F.arrays_zip(pieces.alias("piece"), found.alias("match"), held.alias("held")), F.lit(1), F.size(found))
+        lengths = F.slice(F.arrays_zip(F.transform(F.split(text, pattern, -1), F.length).alias("gap"), F.transform(found, F.length).alias("own")), F.lit(1), F.size(found))
+        ends = prefix(F.transform(lengths, lambda x: x["gap"] + x["own"]), lambda x, y: x + y)
+        spans = F.transform(F.arrays_zip(ends.alias("end"), found.alias("match"), held.alias("held")), lambda x: F.struct(x["end"].alias("end"), F.length(x["match"]).alias("size"), x["held"].alias("held")))
+        good = F.filter(spans, lambda x: keep(x["held"])) if keep else spans
+        return F.transform(good, lambda x: F.struct((x["end"] - x["size"]).alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))
 
-        def step(acc: Column, part: Column) -> Column:
-            start = acc["at"] + F.length(part["piece"])
-            end = start + F.length(part["match"])
-            span = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-            good = keep(part["held"]) if keep else F.lit(True)
-            return F.struct(end.alias("at"), F.when(good, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, placed(found)).otherwise(F.array().cast(SPAN)))
 
-        return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans")), step, lambda acc: acc["spans"])
 
-    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, placed(found)).otherwise(F.array().cast(SPAN)))
+#: Letters that are taken apart at once: a long run or text is cut into blocks of so many in one pass.
+BLOCK = 4096
+
+
+def _blocks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+#: The place in ALPHABET of every ASCII letter.
+PLACES = [ALPHABET.find(chr(k)) for k in range(128)]
+
 
+def _steps(block: Column) -> Column:
+    """The places in ALPHABET of a block's neighbouring letters, as first * letters + second."""
+    places = F.array(*map(F.lit, PLACES))
 
-def _steps(token: Column) -> Column:
-    """The places in ALPHABET of a token's neighbouring letters, as first * letters + second."""
-    at = lambda i: F.instr(F.lit(ALPHABET), F.substring(token, i, F.lit(1))) - 1
-    return F.transform(F.sequence(F.lit(1), F.length(token) - 1), lambda i: at(i) * len(ALPHABET) + at(i + 1))
+    def pairs(at: Column) -> Column:
+        return F.transform(F.slice(at, F.lit(2), F.greatest(F.size(at) - 1, F.lit(0))), lambda x, i: F.get(at, i) * len(ALPHABET) + x)
+
+    return _let(F.transform(F.split(block, ""), lambda x: F.get(places, F.ascii(x))), pairs)
+
+
+def _overlapping(token: Column) -> Column:
+    """The blocks of a token, each with the first letter of the next."""
+    return _let(_blocks(token), lambda bs: F.transform(bs, lambda b, i: F.concat(b, F.coalesce(F.substring(F.get(bs, i + 1), 1, 1), F.lit("")))))
 
 
 @dataclass(frozen=True)
@@ -74,7 +89,8 @@ class MarkovModel:
 
     def mean_ratio(self, token: Column) -> Column:
         table = F.split(F.lit(",".join(f"{x:.4f}" for x in self.ratios)), ",").cast("array<double>")
-        total = F.aggregate(_steps(token), F.lit(0.0), lambda acc, k: acc + F.get(table, k))
+        of_block = lambda b: F.aggregate(_steps(b), F.lit(0.0), lambda acc, k: acc + F.get(table, k))
+        total = F.aggregate(_overlapping(token), F.lit(0.0), lambda acc, b: acc + of_block(b))
         return total / (F.length(token) - 1)
 
 
@@ -159,7 +175,7 @@ def train(samples: DataFrame, margin: float = 0.15) -> MarkovModel:
     """
     letters = len(ALPHABET)
     known = save(samples.where(F.col("token").isNotNull() & F.col("secret").isNotNull() & F.col("token").rlike("^[A-Za-z0-9+/_=-]{2,}$")).select("token", "secret", (F.pmod(F.xxhash64("token"), F.lit(3)) == 0).alias("held")), "samples")
-    counts = known.where(~F.col("held") | F.col("secret") | (F.length("token") >= 2000)).select("secret", F.explode(_steps(F.col("token"))).alias("step")).groupBy("secret", "step").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 2 * letters^2 rows
+    counts = known.where(~F.col("held") | F.col("secret") | (F.length("token") >= 2000)).select("secret", F.explode(F.flatten(F.transform(_overlapping(F.col("token")), _steps))).alias("step")).groupBy("secret", "step").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 2 * letters^2 rows
     seen = {True: [0.0] * letters**2, False: [0.0] * letters**2}
     for row in counts:
         seen[row.secret][row.step] = row.n
@@ -191,9 +207,25 @@ def with_spans(docs: DataFrame, model: MarkovModel) -> DataFrame:
     assign = _spans(text, ASSIGN, 0, long_enough, 2)
     access = F.when(text.contains("AKIA"), _spans(text, ACCESS, 1)).otherwise(none)
     found = docs.withColumn("_base", F.array_sort(F.concat(assign, access, _spans(text, HEX, 2))))
-    clear = lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
     random = _spans(text, RUN, 3, lambda held: model.mean_ratio(held) > model.threshold)
-    return found.withColumn("_added", _let(random, lambda xs: F.when(F.size(xs) > 0, F.filter(xs, clear)).otherwise(xs)))
+    return found.withColumn("_added", _let(random, lambda xs: F.when((F.size(xs) > 0) & (F.size("_base") > 0), _apart(F.col("_base"), xs)).otherwise(xs)))
+
+
+def _apart(base: Column, added: Column) -> Column:
+    """The added spans that no base span touches, from one order of both.
+
+    Of base spans that start no later, the greatest end tells; of those that start later, the least start.
+    """
+    is_base = lambda x: x["kind"] < 3
+    far = F.lit(2**31 - 1)
+
+    def clear(both: Column) -> Column:
+        ends = prefix(F.transform(both, lambda x: F.when(is_base(x), x["end"]).otherwise(F.lit(0))), F.greatest)
+        starts = F.reverse(prefix(F.reverse(F.transform(both, lambda x: F.when(is_base(x), x["start"]).otherwise(far))), F.least))
+        rows = F.arrays_zip(both.alias("x"), ends.alias("before"), starts.alias("after"))
+        return F.transform(F.filter(rows, lambda r: ~is_base(r["x"]) & (r["before"] <= r["x"]["start"]) & (r["after"] >= r["x"]["end"])), lambda r: r["x"])
+
+    return _let(F.array_sort(F.concat(base, added)), clear)
 
 
 def written(spans: Column) -> Column:
@@ -203,7 +235,11 @@ def written(spans: Column) -> Column:
 
 
 def scan(docs: DataFrame, model: MarkovModel) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, n_markov, base_sha256, spans) of every row."""
+    """(doc_id, n_assign, n_access, n_hex, n_markov, base_sha256, spans) of every row.
+
+    A null text counts as empty: no spans, and the digest of nothing. Repeated rows and null ids stay as they are; extra
+    columns are ignored; an empty table gives an empty result.
+    """
     marked = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
     of = lambda k: F.size(F.filter("_base", lambda x: x["kind"] == k)).cast("long")
     return marked.select(
@@ -211,18 +247,37 @@ def scan(docs: DataFrame, model: MarkovModel) -> DataFrame:
         F.sha2(written(F.col("_base")), 256).alias("base_sha256"), written(F.array_sort(F.concat("_base", "_added"))).alias("spans"))
 
 
-def redact(docs: DataFrame, model: MarkovModel, mask: str = "[SECRET]") -> DataFrame:
-    """docs with every span of the text replaced by a mask and n_chars, where there is one, brought up to date."""
-    marked = with_spans(packed(docs, "text"), model).withColumn("_all", F.array_sort(F.concat("_base", "_added")))
+def _piece(blocks: Column, start: Column, end: Column) -> Column:
+    """The letters from start to end of a text in blocks, without a walk from the text's beginning."""
+    first, last = F.floor(start / BLOCK).cast("int"), F.floor(end / BLOCK).cast("int")
+    head = F.coalesce(F.get(blocks, first), F.lit(""))
+    short = F.substring(head, start - first * BLOCK + 1, end - start)
+    middle = F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    long = F.concat(F.substring(head, start - first * BLOCK + 1, F.lit(BLOCK)), middle, F.substring(F.coalesce(F.get(blocks, last), F.lit("")), F.lit(1), end - last * BLOCK))
+    return F.when(first == last, short).otherwise(long)
+
 
-    def step(acc: Column, x: Column) -> Column:
-        fresh = x["start"] >= acc["at"]
-        piece = F.concat(F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"]), F.lit(mask))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
+def _masked(text: Column, spans: Column, mask: str) -> Column:
+    """text with the union of sorted spans masked: what lies between them, joined by the mask."""
 
-    tail = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
-    clean = F.aggregate("_all", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, tail)
+    def joined(ends: Column, blocks: Column) -> Column:
+        # upto: the greatest end of the spans before; a span that starts at or beyond it begins a new masked stretch
+        upto = lambda i: F.when(i > 0, F.get(ends, i - 1)).otherwise(F.lit(0))
+        gaps = F.filter(F.transform(spans, lambda x, i: F.struct(upto(i).alias("start"), x["start"].alias("end"))), lambda g: g["end"] >= g["start"])
+        tail = F.struct(F.element_at(ends, -1).alias("start"), F.length(text).alias("end"))
+        return F.array_join(F.transform(F.concat(gaps, F.array(tail)), lambda g: _piece(blocks, g["start"], g["end"])), mask)
+
+    return _let(prefix(F.transform(spans, lambda x: x["end"]), F.greatest), lambda ends: _let(_blocks(text), lambda blocks: joined(ends, blocks)))
+
+
+def redact(docs: DataFrame, model: MarkovModel, mask: str = "[SECRET]") -> DataFrame:
+    """docs with every span of the text replaced by a mask and n_chars, where there is one, brought up to date.
+
+    Spans that overlap are masked as one. A null text stays null; texts without a span, n_chars of theirs, and
+    all other columns stay as they are; repeated rows are alike; an empty table gives an empty result.
+    """
+    marked = with_spans(packed(docs, "text"), model).withColumn("_all", F.array_sort(F.concat("_base", "_added")))
     changed = F.size("_all") > 0
-    out = marked.select("_row", changed.alias("_changed"), F.when(changed, clean).otherwise(F.col("text")).alias("_clean"))
+    out = marked.select("_row", changed.alias("_changed"), F.when(changed, _masked(F.col("text").cast("string"), F.col("_all"), mask)).otherwise(F.col("text")).alias("_clean"))
     new = {"text": F.col("_clean"), "n_chars": F.when(F.col("_changed"), F.length("_clean").cast("long")).otherwise(F.col("_row.n_chars")) if "n_chars" in docs.columns else None}
     return out.select(*(new[c].alias(c) if c in new else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
