@@ -121,9 +121,11 @@ def _round(most: int):
 
 
 def plan_mix(measured: DataFrame, weights: DataFrame, most: int = 3) -> DataFrame:
-    """One row for each cell (source, size): _s, _n, base copies, the highest _h that gets one more (null: none), source_size, target.
+    """One row for each cell (source, size): _s, _n, base copies, last, tied, source_size, target.
 
-    measured: (_s, _n, _h) of all documents; weights: (_s, weight), sources without a weight weigh 0.
+    Documents of a cell with an _h below `last` get one more copy than base (null: none does). So do those at `last`, or
+    only `tied` of them where that is not null. measured: (_s, _n, _h) of all documents; weights: (_s, weight), sources
+    without a weight weigh 0.
     """
     ship(measured.sparkSession)
     hist = save(measured.groupBy("_s", "_n").agg(F.count(F.lit(1)).alias("n")), "histogram")
@@ -139,37 +141,63 @@ def plan_mix(measured: DataFrame, weights: DataFrame, most: int = 3) -> DataFram
     n_cells = cells.count()
     limits = _limits(measured, cells.where("more > 0"), n_cells)
     named = small(sources.select("_s", F.col("size").alias("source_size"), "target"), n_sources)
-    return save(cells.join(limits, ["_s", "_n"], "left").join(named, "_s").select("_s", "_n", "base", "last", "source_size", "target"), "plan")
+    return save(cells.join(limits, ["_s", "_n"], "left").join(named, "_s").select("_s", "_n", "base", "last", "tied", "source_size", "target"), "plan")
+
+
+def _crossing(counts: DataFrame, order: str, wanted: str) -> DataFrame:
+    """Of counted (cell, order, wanted, k), the row of each cell in which its number `wanted` falls, with `left`: how many of that row."""
+    upto = F.sum("k").over(Window.partitionBy("_s", "_n").orderBy(order))
+    return counts.withColumn("_upto", upto).where((F.col("_upto") >= F.col(wanted)) & (F.col("_upto") - F.col("k") < F.col(wanted))).withColumn("left", F.col(wanted) - F.col("_upto") + F.col("k"))
 
 
 def _limits(measured: DataFrame, cells: DataFrame, n_cells: int) -> DataFrame:
-    """(_s, _n, last): the hash of the document that is number `more` in the order of hashes of its cell.
+    """(_s, _n, last, tied): the hash of the document that is number `more` in the order of hashes of its cell.
 
-    Hashes are counted by ranges, as many as the cell has documents by SLICE; only the range in which the wanted one
-    falls is put in order, so no task sorts a large cell.
+    Hashes are counted by ranges, as many as the cell has documents by SLICE, then one by one in the range in which the
+    wanted one falls; so no task holds a large cell or the copies of one document. tied: how many rows of the hash
+    `last` the number takes, null where it takes them all.
     """
     cells = cells.withColumn("bits", F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / SLICE))).cast("int"))
     # the range is the leading bits of the hash, kept in signed order
     member = measured.select("_s", "_n", "_h").join(small(cells, n_cells), ["_s", "_n"]).withColumn("range", F.expr("if(bits = 0, 0L, shiftright(_h, 64 - bits))"))
     counts = member.groupBy("_s", "_n", "more", "range").agg(F.count(F.lit(1)).alias("k"))
-    upto = F.sum("k").over(Window.partitionBy("_s", "_n").orderBy("range"))
-    crossing = counts.withColumn("upto", upto).where("upto >= more and upto - k < more").select("_s", "_n", "range", (F.col("more") - F.col("upto") + F.col("k")).alias("left"))
-    wanted = save(crossing, "crossing")
-    rank = F.row_number().over(Window.partitionBy("_s", "_n").orderBy("_h"))
-    return member.join(small(wanted, n_cells), ["_s", "_n", "range"]).withColumn("rank", rank).where(F.col("rank") == F.col("left")).select("_s", "_n", F.col("_h").alias("last"))
+    wanted = save(_crossing(counts, "range", "more").select("_s", "_n", "range", F.col("left").alias("rest")), "crossing")
+    hashes = member.join(small(wanted, n_cells), ["_s", "_n", "range"]).groupBy("_s", "_n", "rest", "_h").agg(F.count(F.lit(1)).alias("k"))
+    return _crossing(hashes, "_h", "rest").select("_s", "_n", F.col("_h").alias("last"), F.when(F.col("left") < F.col("k"), F.col("left")).alias("tied"))
+
+
+def _dealt(ties: DataFrame) -> DataFrame:
+    """Rows (_s, _n, tied, ...) that are alike within a cell with _more: true for exactly `tied` of each cell.
+
+    The rows are written once with a number each; numbers are counted by the partition that wrote them, then put in order
+    within one partition, so no task holds all rows of a large group.
+    """
+    rows = save(ties.withColumn("_u", F.monotonically_increasing_id()), "ties")
+    narrow = rows.select("_s", "_n", "tied", "_u", F.shiftright("_u", 33).alias("part"))
+    counts = narrow.groupBy("_s", "_n", "tied", "part").agg(F.count(F.lit(1)).alias("k"))
+    at = save(_crossing(counts, "part", "tied").select("_s", "_n", "part", "left"), "tie_parts")
+    rank = F.row_number().over(Window.partitionBy("_s", "_n").orderBy("_u"))
+    n = at.count()  # at most one row a cell
+    last = narrow.join(small(at, n), ["_s", "_n", "part"]).withColumn("rank", rank).where(F.col("rank") == F.col("left")).select("_s", "_n", F.col("_u").alias("_last_u"))
+    return rows.join(small(last, n), ["_s", "_n"]).withColumn("_more", F.col("_u") <= F.col("_last_u")).drop("_u", "_last_u")
 
 
 def apply_plan(measured: DataFrame, plan: DataFrame) -> DataFrame:
-    """measured with copies, source_size and target."""
+    """measured with copies and the plan's columns; of rows that are alike as many get a further copy as the plan says."""
     joined = measured.join(small(plan, plan.count()), ["_s", "_n"])
-    return joined.withColumn("copies", F.col("base") + F.coalesce((F.col("_h") <= F.col("last")).cast("long"), F.lit(0)))
+    further = joined.withColumn("_more", F.coalesce((F.col("_h") < F.col("last")) | ((F.col("_h") == F.col("last")) & F.col("tied").isNull()), F.lit(False)))
+    if not plan.where("tied is not null").isEmpty():
+        tie = F.coalesce((F.col("_h") == F.col("last")) & F.col("tied").isNotNull(), F.lit(False))
+        further = further.where(~tie).unionByName(_dealt(joined.where(tie)))
+    return further.withColumn("copies", F.col("base") + F.col("_more").cast("long")).drop("_more")
 
 
 def mix_digest(docs: DataFrame, weights: DataFrame | None = None, most: int = 3) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies): words that a mix takes of each document, repeats counted.
 
-    A null text has no words and is taken once; a null source is a source of its own; documents with equal doc_id and
-    text share their number of copies; a document has at most `most` copies; an empty table gives an empty result.
+    A null text has no words and is taken once; a null source is a source of its own; of rows with equal doc_id and
+    text some may get one copy more than others; a document has at most `most` copies; extra columns are ignored; an
+    empty table gives an empty result.
     """
     kept = save(_measured(docs).select("doc_id", "source", "_s", "_n", "_h"), "measured")
     mixed = apply_plan(kept, plan_mix(kept, weights or cyclic_weights(kept.select("source").distinct()), most))
@@ -177,7 +205,10 @@ def mix_digest(docs: DataFrame, weights: DataFrame | None = None, most: int = 3)
 
 
 def mix_documents(docs: DataFrame, weights: DataFrame | None = None, most: int = 3) -> DataFrame:
-    """docs with each document as often as the mix takes it, with all of its columns."""
+    """docs with each document as often as the mix takes it, with all of its columns.
+
+    Nulls, repeated rows and empty tables are as in mix_digest(); extra columns move along whatever their names.
+    """
     kept = save(_measured(docs).select("source", "_s", "_n", "_h"), "measured")
     plan = plan_mix(kept, weights or cyclic_weights(kept.select("source").distinct()), most)
     mixed = apply_plan(_measured(docs), plan.drop("source_size", "target")).where("copies > 0")
