@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.common import WORD, decision_tree, packed, save, small, unpacked
 
-#: Bits of a packed window that hold its place; the rest hold a hash, and equal hashes are confirmed word by word.
-PLACE_BITS = 26
+#: Bits of a packed window that hold its place, as many as an array has places; the rest hold a hash.
+PLACE_BITS = 31
 
 #: The base rule: too few words, or more than this share of them in repeated windows.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -41,25 +41,33 @@ def _let(value: Column, body) -> Column:
 def _repeat_words(words: Column, n: Column) -> Column:
     """Words of 3-word windows that occur twice or more, each place counted once.
 
-    Windows are sorted as one long each, hash above place; a window counts if a neighbour in that order has the
-    same hash and the same three words. Then the covered places are the union of [p, p + 2].
+    Windows are sorted as one long each, hash above place; only a window with a neighbour of the same hash can be a
+    repeat. Those are sorted by their words, and equal neighbours are repeats, whatever the hashes. Then the covered
+    places are the union of [p, p + 2].
     """
     mask = F.lit((1 << PLACE_BITS) - 1).cast("long")
     window = lambda i: F.shiftleft(F.xxhash64(words[i], words[i + 1], words[i + 2]), PLACE_BITS).bitwiseOR(i.cast("long"))
 
-    def same(x: Column, y: Column) -> Column:
-        p, q = x.bitwiseAND(mask).cast("int"), y.bitwiseAND(mask).cast("int")
-        equal = (words[p] == words[q]) & (words[p + 1] == words[q + 1]) & (words[p + 2] == words[q + 2])
-        return (F.shiftright(x, PLACE_BITS) == F.shiftright(y, PLACE_BITS)) & equal
-
-    def covered(order: Column) -> Column:
+    def beside_equal(order: Column, same) -> Column:
+        """The entries of an order that are the same as the one before or after."""
         last = F.size(order) - 1
-        again = F.filter(order, lambda x, i: F.coalesce(F.when(i > 0, same(x, order[F.greatest(i - 1, F.lit(0))])), F.lit(False)) | F.coalesce(F.when(i < last, same(x, order[F.least(i + 1, last)])), F.lit(False)))
-        places = F.array_sort(F.transform(again, lambda x: x.bitwiseAND(mask)))
-        return _let(places, lambda p: F.aggregate(p, F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).cast("long").alias("at")), lambda a, x: F.struct((a["n"] + F.least(F.lit(3).cast("long"), x - a["at"])).alias("n"), x.alias("at")), lambda a: a["n"]))
+        before = lambda x, i: F.when(i > 0, same(x, order[F.greatest(i - 1, F.lit(0))]))
+        after = lambda x, i: F.when(i < last, same(x, order[F.least(i + 1, last)]))
+        return F.filter(order, lambda x, i: F.coalesce(before(x, i), F.lit(False)) | F.coalesce(after(x, i), F.lit(False)))
+
+    def spelled(x: Column) -> Column:
+        return _let(x.bitwiseAND(mask).cast("int"), lambda p: F.struct(words[p].alias("a"), words[p + 1].alias("b"), words[p + 2].alias("c"), p.alias("p")))
+
+    def covered(places: Column) -> Column:
+        return F.aggregate(places, F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("at")), lambda a, x: F.struct((a["n"] + F.least(F.lit(3), x - a["at"])).alias("n"), x.alias("at")), lambda a: a["n"])
+
+    def repeats(order: Column) -> Column:
+        near = beside_equal(order, lambda x, y: F.shiftright(x, PLACE_BITS) == F.shiftright(y, PLACE_BITS))
+        exact = _let(F.sort_array(F.transform(near, spelled)), lambda o: beside_equal(o, lambda x, y: (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])))
+        return _let(F.array_sort(F.transform(exact, lambda x: x["p"])), covered)
 
     windows = F.transform(F.sequence(F.lit(0), n - 3), window)
-    return F.when(n >= 4, _let(F.sort_array(windows), covered)).otherwise(F.lit(0).cast("long"))
+    return F.when(n >= 4, _let(F.sort_array(windows), repeats)).otherwise(F.lit(0).cast("long"))
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
@@ -131,6 +139,10 @@ def learn_rules(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, bi
     the rest: conditions go from its end while that does not lower (bad - good) / covered. A rule whose share of bad
     rows over all rows it covers is below `precision`, or that covers fewer than `least_covered` bad rows, ends the
     list. Without labels the list is empty. Ties are settled by the order of FEATURES and bins.
+
+    The list is kept short and coarse on purpose: it has at most `max_rules` rules of at most `max_conditions` conditions,
+    and thresholds lie between `bins` quantiles of a statistic. At most 2 * `max_labels` labelled documents teach it. Its
+    rules judge all documents.
     """
     rows = _labelled(docs, labels, max_labels)
     names = list(FEATURES)
@@ -228,7 +240,11 @@ def judge(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that neither the base rule nor a learned rule rejects, with all of their columns."""
+    """The documents that neither the base rule nor a learned rule rejects, with all of their columns.
+
+    A null text counts as empty and goes; repeated rows stay or go together, null ids like any; extra columns move along
+    whatever their names; an empty table gives an empty result.
+    """
     rules = learn_rules(docs, labels, **options)
     # a filter on a column that is not deterministic stays above the statistics instead of repeating them
     rated = _rated(packed(docs, "text"), rules).select("_row", "_kept", F.monotonically_increasing_id().alias("_place"))
