@@ -24,6 +24,8 @@ from lexmill.llm.components import connected_components
 DIRECTIONS = 48
 #: Rows of one line that one task holds at once; longer lines are dealt out as pairs of blocks.
 BLOCK = 4096
+#: Pairs that a task expands at once.
+PAIRS = 1 << 18
 
 
 def directions(dim: int, tables: int, levels: int, seed: int = 7) -> np.ndarray:
@@ -50,20 +52,24 @@ def calibrate(dim: int, cosine: float, count: int, recall: float = 0.999, seed:
     """(tables, levels, least collisions, window) for groups of up to `count` vectors.
 
     The window holds the projections of 98 of 100 pairs at the threshold; tables are added until a count of at least 2
-    has the wanted recall by the binomial law at the simulated collision rate.
+    has the wanted recall by the binomial law at the simulated collision rate. If 4096 tables do not give that, it is
+    an error: there is no answer with less recall than was asked for.
     """
     levels = max(1, math.ceil(math.log(max(count, 2) / 32) / math.log(2 * DIRECTIONS))) if count > 32 else 1
     rng = np.random.default_rng(seed)
     x = rng.standard_normal((4000, dim))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     y = rng.standard_normal((4000, dim))
-    y -= (y * x).sum(axis=1, keepdims=True) * x
-    y = cosine * x + math.sqrt(1 - cosine**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    if dim > 1:
+        y -= (y * x).sum(axis=1, keepdims=True) * x
+        y = cosine * x + math.sqrt(1 - cosine**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    else:  # on a line vectors are equal or opposite
+        y = x
     probe = directions(dim, 4, levels, seed)
     (nx, vx), (ny, vy) = lines(x, probe), lines(y, probe)
     same, gap = nx == ny, np.abs(vx - vy)
     window = float(np.quantile(gap[same], 0.98)) if same.any() else 1.0
-    rate = max(float((same & (gap <= window)).mean()), 1e-3) * 0.98  # a little under what was seen
+    rate = float((same & (gap <= window)).mean()) * 0.98  # a little under what was seen
     for tables in range(16, 4097, 8):
         tail, least = 1.0, 0
         while True:
@@ -73,20 +79,20 @@ def calibrate(dim: int, cosine: float, count: int, recall: float = 0.999, seed:
             least += 1
         if least >= 2:
             return tables, levels, least, window
-    return 4096, levels, 1, window
+    raise ValueError(f"no number of tables up to 4096 finds pairs at {cosine} of {dim} dimensions and groups of {count} with a recall of {recall}")
 
 
-def usable_vectors(table: DataFrame) -> DataFrame:
-    """(vec_id, label, v) of rows that may link: label not null, vector with finite components, one of them not zero."""
-    return numbered_vectors(table).where(F.col("rep").isNotNull())
+def marked_vectors(table: DataFrame) -> DataFrame:
+    """(vec_id, label, v, h1, h2) of every row; h1 and h2, 128 bits that stand for label and vector, are null where it links with nothing.
 
-
-def numbered_vectors(table: DataFrame) -> DataFrame:
-    """(vec_id, label, v, rep) of every row; rep, the number of its class, is null where it links with nothing."""
+    A row may link if its label is not null and its vector has finite components, one of them not zero.
+    """
     v = F.transform("embedding", lambda x: x.cast("double"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     links = F.col("label").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0)
-    return table.select(F.col("vec_id").cast("long").alias("vec_id"), "label", v.alias("v")).withColumn("rep", F.when(F.coalesce(links, F.lit(False)), F.xxhash64("label", "v")))
+    usable = F.coalesce(links, F.lit(False))
+    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), "label", v.alias("v"))
+    return rows.withColumns({"h1": F.when(usable, F.xxhash64("label", "v")), "h2": F.when(usable, F.xxhash64("v", "label", F.lit(1)))})
 
 
 def _unit(column: pa.Array, dim: int) -> np.ndarray:
@@ -109,13 +115,19 @@ def _window_pairs(window: float):
             place = group * (float(value.max() - least) + 2 * window + 1) + (value - least)
             n = np.searchsorted(place, place + window, side="right") - np.arange(len(place)) - 1
             inside = (block >> 20) == (block & ((1 << 20) - 1))
-            for start in range(0, len(place), 1 << 14):
-                some = n[start : start + (1 << 14)]
+            upto = np.cumsum(n)
+            start = 0
+            while start < len(place):
+                # rows whose pairs come to PAIRS; one row has at most the pairs of its group
+                before = int(upto[start - 1]) if start else 0
+                stop = max(int(np.searchsorted(upto, before + PAIRS, side="right")), start + 1)
+                some = n[start:stop]
                 left = np.repeat(np.arange(start, start + len(some)), some)
                 right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(some) - some, some)
                 # a pair of blocks reports what meets across them, a block with itself what meets inside
                 good = (rep[left] != rep[right]) & (inside[left] | (mine[left] != mine[right]))
                 a, b = np.minimum(rep[left], rep[right])[good], np.maximum(rep[left], rep[right])[good]
+                start = stop
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
@@ -144,31 +156,55 @@ def near_vectors(table: DataFrame, cosine: float = 0.93, recall: float = 0.999)
     """
     spark = table.sparkSession
     ship(spark)
-    # a class is a label and a vector; its number is a hash of both
-    classes = save(usable_vectors(table).groupBy("label", "v").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("members")).withColumn("rep", F.xxhash64("label", "v")), "classes")
+    rows = marked_vectors(table)
+    # a class is a label and a vector; it gets its number when it is written
+    grouped = rows.where("h1 is not null").groupBy("h1", "h2", "label", "v").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("members"))
+    classes = save(grouped.withColumn("rep", F.monotonically_increasing_id()), "classes")
     shapes = classes.groupBy(F.size("v").alias("dim"), "label").count().groupBy("dim").agg(F.max("count").alias("most")).collect()  # one row for each length of vector
     found = None
     for shape in shapes:
         part = _links_of(classes.where(F.size("v") == shape["dim"]), shape["dim"], shape["most"], cosine, recall)
         found = part if found is None else found.unionAll(part)
-    numbered = numbered_vectors(table).select("vec_id", "rep")
+    bare = rows.select("vec_id", "h1", "h2")
     if found is None:
-        return numbered.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+        return bare.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     links = save(found, "links")
-    sizes = classes.select(F.col("rep").alias("b"), F.col("members"))
-    both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = both.join(sizes, "b").groupBy("a").agg(F.sum("members").alias("others"))
-    linked = connected_components(links)
-    rooted = save(classes.join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", "first", "members", F.coalesce("component", "rep").alias("root")), "rooted")
+    others = links.where("n is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
+    linked = connected_components(links.where("b is not null").select("a", "b"))
+    rooted = save(classes.join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", "h1", "h2", "first", "members", F.coalesce("component", "rep").alias("root")), "rooted")
     least = save(rooted.groupBy("root").agg(F.min("first").alias("least")), "least")
-    named = save(rooted.join(least, "root").join(others.withColumnRenamed("a", "rep"), "rep", "left").select("rep", (F.col("members") - 1 + F.coalesce("others", F.lit(0))).alias("links"), "least"), "named")
-    out = numbered.join(named, "rep", "left")
+    named = save(rooted.join(least, "root").join(others, "rep", "left").select("h1", "h2", (F.col("members") - 1 + F.coalesce("others", F.lit(0))).alias("links"), "least"), "named")
+    out = bare.join(named, ["h1", "h2"], "left")
     component = F.coalesce("least", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
+class Forest:
+    """Union-find over the links that a task sees: grown() tells which links join two trees."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    def grown(self, a: list[int], b: list[int]) -> list[bool]:
+        new = []
+        for x, y in zip(a, b, strict=True):
+            x, y = self.root(x), self.root(y)
+            new.append(x != y)
+            if x != y:
+                self.up[max(x, y)] = min(x, y)
+        return new
+
+
 def _links_of(classes: DataFrame, dim: int, most: int, cosine: float, recall: float) -> DataFrame:
-    """(a, b): verified links between classes of one vector length."""
+    """(a, b, n) of classes of one vector length, from verified links: (a, null, n) adds n vectors that a's link to, and
+    (a, b, null) are links enough to connect all that are linked.
+    """
     tables, levels, least, window = calibrate(dim, cosine, most, recall)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,17 +230,26 @@ def _links_of(classes: DataFrame, dim: int, most: int, cosine: float, recall: fl
         dealt = entries.select("line", F.lit(0).cast("long").alias("block"), "value", "rep", F.lit(0).cast("long").alias("mine"))
     met = dealt.repartition("line", "block").sortWithinPartitions("line", "block", "value").mapInArrow(_window_pairs(window), "a long, b long")
     counted = save(met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("a", "b"), "candidates")
-    left = classes.select(F.col("rep").alias("a"), F.col("label").alias("la"), F.col("v").alias("va"))
-    right = classes.select(F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("v").alias("vb"))
-    pairs = counted.join(left, "a").join(right, "b").where("la = lb").select("a", "b", "va", "vb")
+    left = classes.select(F.col("rep").alias("a"), F.col("label").alias("la"), F.col("v").alias("va"), F.col("members").alias("ma"))
+    right = classes.select(F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("v").alias("vb"), F.col("members").alias("mb"))
+    pairs = counted.join(right, "b").join(left, "a").where("la = lb").select("a", "b", "va", "vb", "ma", "mb")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
         for whole in batches:
             for start in range(0, whole.num_rows, 5000):
                 batch = whole.slice(start, 5000)
                 x, y = (batch.column(k).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) for k in (2, 3))
                 dot = (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
-                good = pa.array(dot >= cosine)
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], ["a", "b"])
-
-    return pairs.mapInArrow(verify, "a long, b long")
+                good = dot >= cosine
+                a, b, more_a, more_b = (batch.column(k).to_numpy(zero_copy_only=False)[good] for k in (0, 1, 5, 4))
+                nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+                n = np.zeros(len(nodes), dtype=np.int64)
+                np.add.at(n, place, np.concatenate([more_a, more_b]))
+                new = np.array(forest.grown(a.tolist(), b.tolist()), dtype=bool)
+                a, b = a[new], b[new]
+                columns = [np.concatenate([nodes, a]), np.concatenate([np.zeros(len(nodes), np.int64), b]), np.concatenate([n, np.zeros(len(a), np.int64)])]
+                is_link = np.concatenate([np.zeros(len(nodes), bool), np.ones(len(a), bool)])
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64(), mask=~is_link), pa.array(columns[2], pa.int64(), mask=is_link)], ["a", "b", "n"])
+
+    return pairs.mapInArrow(verify, "a long, b long, n long")
