@@ -92,12 +92,19 @@ class EliasFano:
         upper = (at << 3) + (byte & -byte).bit_length() - 1 - i
         return (upper << self.low_bits) | int(self._lower(i, 1)[0])
 
-    def all(self) -> np.ndarray:
-        if not self.m:
+    def select_range(self, first: int, n: int) -> np.ndarray:
+        """Numbers first to first + n - 1, read from the kept place before the first to the one after the last."""
+        if not 0 <= first <= first + n <= self.m:
+            raise IndexError((first, n))
+        if not n:
             return np.zeros(0, dtype=np.uint64)
-        places = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))
-        upper = (places - np.arange(self.m)).astype(np.uint64)
-        return (upper << np.uint64(self.low_bits)) | self._lower(0, self.m)
+        mark, after = first // SAMPLE, (first + n - 1) // SAMPLE + 1
+        begin = int(self.marks[mark])
+        end = int(self.marks[after]) if after < len(self.marks) else 8 * len(self.high)
+        bits = np.unpackbits(self.high[begin >> 3 : (end + 7) >> 3], bitorder="little")[begin & 7 :]
+        places = np.flatnonzero(bits)[first - mark * SAMPLE :][:n] + begin
+        upper = (places - np.arange(first, first + n)).astype(np.uint64)
+        return (upper << np.uint64(self.low_bits)) | self._lower(first, n)
 
 
 def pack_segment(doc_ids: list[int | None], ids: list[bytes], width: int) -> bytes:
@@ -134,8 +141,14 @@ class Segment:
     def document(self, i: int) -> np.ndarray:
         return self.ids[slice(*self.span(i))]
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.nulls + (self.keys.all().astype(np.int64) + self.least).tolist()
+    def doc_ids(self, first: int, n: int) -> list[int | None]:
+        nulls = min(max(self.nulls - first, 0), n)
+        return [None] * nulls + (self.keys.select_range(first + nulls - self.nulls, n - nulls).astype(np.int64) + self.least).tolist()
+
+    def spans(self, first: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of documents first to first + n - 1."""
+        ends = self.ends.select_range(first, n).astype(np.int64)
+        return np.concatenate([[self.ends.select(first - 1) if first else 0], ends[:-1]]).astype(np.int64), ends
 
 
 #: Letters, numbers and others among the printable characters of Latin-1, where case and composition are plain.
@@ -195,44 +208,59 @@ def loaded(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def write_token_file(docs: DataFrame, path: str, end_id: int = 2, segment_ids: int = 1_000_000) -> DataFrame:
+def write_token_file(docs: DataFrame, path: str, end_id: int = 2, segment_ids: int = 1_000_000, out: str | None = None) -> DataFrame:
     """Encode every whole text, append end_id, and write segments in ascending order of doc_id; returns the file's table.
 
-    Documents are dealt by ranges of (doc_id, hash of the text), so that a doc_id on many rows is spread; rows
-    with equal ids are in order of that hash and of the text. A null text counts as empty and has the end id alone.
+    path: the tokenizer, on every executor; out: where the file goes, a scratch table if it is None. Texts are encoded
+    where they are read, and their packed ids are written once; only ids move. Documents are dealt by ranges of (doc_id,
+    hash of the text), so that a doc_id on many rows is spread; rows with equal ids are in order of that hash and of
+    their token ids. A null text counts as empty and has the end id alone; repeated rows stay; extra columns are
+    ignored; an empty table gives a file without segments.
     """
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = loaded(path)
         end = np.array([end_id], dtype=f"<u{coder.width}").tobytes()
+        for whole in batches:
+            for start in range(0, whole.num_rows, 500):
+                batch = whole.slice(start, 500)
+                ids = [(coder.encode(t) if t else b"") + end for t in batch.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([coder.width] * len(ids), pa.int32()), pa.array(ids, pa.binary())], ["doc_id", "tie", "width", "ids"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[int | None] = []
         ids: list[bytes] = []
         size = seq = part = 0
+        width = 2
 
         def segment():
-            row = [[part], [seq], [len(keys)], [size // coder.width], [pack_segment(keys, ids, coder.width)]]
+            row = [[part], [seq], [len(keys)], [size // width], [pack_segment(keys, ids, width)]]
             kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], ["part", "seq", "n_docs", "n_tokens", "payload"])
 
         for batch in batches:
             for k in range(batch.num_rows):
-                part = batch.column(2)[k].as_py()
+                part, width = batch.column(3)[k].as_py(), batch.column(1)[k].as_py()
                 keys.append(batch.column(0)[k].as_py())
-                text = batch.column(1)[k].as_py()
-                ids.append((coder.encode(text) if text else b"") + end)
+                ids.append(batch.column(2)[k].as_py())
                 size += len(ids[-1])
-                if size >= segment_ids * coder.width:
+                if size >= segment_ids * width:
                     yield segment()
                     keys, ids, size, seq = [], [], 0, seq + 1
         if keys:
             yield segment()
 
     ship(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tie = F.xxhash64("text")
-    dealt = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie, "text")
-    parts = dealt.select("doc_id", "text", F.spark_partition_id().alias("part"))
-    return save(parts.mapInArrow(work, "part int, seq int, n_docs int, n_tokens long, payload binary"), "token_ids")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    coded = save(rows.mapInArrow(encode, "doc_id long, tie long, width int, ids binary"), "ids")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
+    dealt = coded.repartitionByRange(*order).sortWithinPartitions(*order, "ids").select("doc_id", "width", "ids", F.spark_partition_id().alias("part"))
+    file = dealt.mapInArrow(pack, "part int, seq int, n_docs int, n_tokens long, payload binary")
+    if out is None:
+        return save(file, "token_ids")
+    file.write.parquet(out)
+    return open_documents(docs.sparkSession, out)
 
 
 def segment_starts(file: DataFrame) -> DataFrame:
@@ -247,24 +275,30 @@ def segment_starts(file: DataFrame) -> DataFrame:
     return inner.join(F.broadcast(parts), "part").select("part", "seq", (F.col("part_base") + F.col("inner_base")).alias("base"))
 
 
+#: Documents of a segment that are read at once.
+AT_ONCE = 4096
+
+
 def read_token_file(file: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document of a file, read from its segments.
 
-    start counts the ids of all documents before; the checksum is over the ids as little-endian unsigned 32-bit integers.
+    Where a document begins and ends comes from the select structure over the boundaries, some thousand documents at a
+    time. start counts the ids of all documents before; the checksum is over the ids as little-endian unsigned 32-bit
+    integers. Null and repeated document ids come back as they were written; a file without segments gives no rows.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 seg = Segment(batch.column(2)[k].as_py())
-                ends = seg.ends.all().astype(np.int64)
-                begins = np.concatenate([[0], ends[:-1]])[: len(ends)]
-                ids = seg.ids.astype("<u4")
-                crc = [zlib.crc32(ids[b:e]) for b, e in zip(begins.tolist(), ends.tolist(), strict=True)]
-                same = lambda c: pa.array([batch.column(c)[k].as_py()] * len(seg), pa.int32())  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays(
-                    [same(0), same(1), pa.array(seg.doc_ids(), pa.int64()), pa.array(begins, pa.int64()), pa.array(ends - begins, pa.int64()), pa.array(crc, pa.int64())],
-                    ["part", "seq", "doc_id", "inner", "n_tokens", "ids_crc32"])
+                for first in range(0, len(seg), AT_ONCE):
+                    n = min(AT_ONCE, len(seg) - first)
+                    begins, ends = seg.spans(first, n)
+                    crc = [zlib.crc32(seg.ids[b:e].astype("<u4")) for b, e in zip(begins.tolist(), ends.tolist(), strict=True)]
+                    same = lambda c: pa.array([batch.column(c)[k].as_py()] * n, pa.int32())  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays(
+                        [same(0), same(1), pa.array(seg.doc_ids(first, n), pa.int64()), pa.array(begins, pa.int64()), pa.array(ends - begins, pa.int64()), pa.array(crc, pa.int64())],
+                        ["part", "seq", "doc_id", "inner", "n_tokens", "ids_crc32"])
 
     ship(file.sparkSession)
     rows = file.select("part", "seq", "payload").mapInArrow(work, "part int, seq int, doc_id long, inner long, n_tokens long, ids_crc32 long")
@@ -274,4 +308,4 @@ def read_token_file(file: DataFrame) -> DataFrame:
 
 def open_documents(spark: SparkSession, path: str) -> DataFrame:
     """A token-id file that lies at a path."""
-    return spark.read.parquet(path)
+    return spark.read.schema("part int, seq int, n_docs int, n_tokens long, payload binary").parquet(path)
