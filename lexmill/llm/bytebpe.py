@@ -27,6 +27,9 @@ from lexmill.llm.common import Memo, ship
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 NEVER = 1 << 60
 
+#: Fixed value: the pattern whose pieces never cross from one run of white space or of other letters into the next, but for one space before.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 
 class ByteBpe:
     """One vocabulary of ranks: encode() to packed little-endian unsigned 32-bit ids, decode() back."""
@@ -42,7 +45,9 @@ class ByteBpe:
         self.edges: tuple[dict[int, list[int]], dict[int, list[int]]] = ({}, {})
         self.fits = Memo(self._fits, 2_000_000)
         self.pieces = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]"))
-        self.runs = regex.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+        # under WORDS texts fall into such runs, which repeat and are remembered; under another pattern into its pieces
+        self.by_words = pattern == WORDS
+        self.runs = regex.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+") if self.by_words else self.pieces
         self.packed = Memo(self._run, 1_000_000)
 
     @classmethod
@@ -121,10 +126,10 @@ class ByteBpe:
         return ids
 
     def _run(self, run: str) -> bytes:
-        """Packed ids of a run of the text that no piece crosses."""
+        """Packed ids of a run of the text that no piece crosses, or of one piece."""
         word = run[1:] if run[0] == " " else run
         ids: list[int] = []
-        for piece in [run] if word.isascii() and word.isalpha() else self.pieces.findall(run):
+        for piece in [run] if not self.by_words or (word.isascii() and word.isalpha()) else self.pieces.findall(run):
             ids += self.piece_ids(piece.encode("utf-8", "surrogatepass"))
         return np.array(ids, dtype="<u4").tobytes()
 
