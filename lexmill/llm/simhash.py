@@ -17,10 +17,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import BROADCAST_ROWS, save, ship, small
+from lexmill.llm.common import BROADCAST_ROWS, packed, save, ship, small, unpacked
 from lexmill.llm.components import connected_components
 
 #: Widths of the cyclic parts of a fingerprint.
@@ -54,16 +54,22 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
+def text_keys(text: str = "text") -> tuple[Column, Column]:
+    """t1 and t2, 128 bits that stand for a text."""
+    value = F.col(text).cast("string")
+    return F.xxhash64(value).alias("t1"), F.xxhash64(value, F.lit(1)).alias("t2")
+
+
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """(doc_id, fp) of every row; whole texts, one Arrow batch at a time."""
+    """(doc_id, t1, t2, fp) of every row; whole texts, one Arrow batch at a time."""
     ship(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(batch.column(1)[k].as_py(), width) for k in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
+            found = [fingerprint(batch.column(3)[k].as_py(), width) for k in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(found, pa.int64())], ["doc_id", "t1", "t2", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), *text_keys(), F.col("text").cast("string")).mapInArrow(work, "doc_id long, t1 long, t2 long, fp long")
 
 
 def chain_masks(start: int, length: int, distance: int) -> list[int]:
@@ -91,6 +97,28 @@ def chain_keys(start: int, length: int):
     return key
 
 
+def within(a: Column, b: Column, distance: int, length: int = 3) -> Column:
+    """Whether two fingerprints differ in at most `distance` bits: the chain test first, which prunes most, then all bits.
+
+    Some part must begin a chain of `length` consecutive parts whose first j parts differ in at most floor(j * distance /
+    PARTS) bits for every j, else the whole cannot be within the distance.
+    """
+    apart = a.bitwiseXOR(b)
+
+    def chained(parts: Column) -> Column:
+        found = F.lit(False)
+        for k in range(len(PARTS)):
+            used, test = F.lit(0), F.lit(True)
+            for j in range(length):
+                used = used + parts[(k + j) % len(PARTS)]
+                test = test & (used <= (j + 1) * distance // len(PARTS))
+            found = found | test
+        return found
+
+    parts = F.array(*(F.bit_count(F.shiftrightunsigned(apart, at).bitwiseAND(F.lit((1 << width) - 1).cast("long"))) for at, width in zip(OFFSETS, PARTS, strict=True)))
+    return F.transform(F.array(parts), chained)[0] & (F.bit_count(apart) <= distance)
+
+
 def _differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Differing bits of signed fingerprints; the sign bit counts like any other, which needs unsigned numbers."""
     return np.bitwise_count((x ^ y).view(np.uint64))
@@ -194,6 +222,15 @@ def fingerprint_links(prints: DataFrame, distance: int = 4, block: int = BLOCK)
     return keyed.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_links(distance), "a long, b long")
 
 
+def simhash_rows(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
+    """(doc_id, t1, t2, fp, root) of every row; root, a fingerprint, is the same throughout a component."""
+    rows = save(fingerprints(docs, width), "fingerprints")
+    classes = save(rows.select("fp").distinct(), "classes")
+    linked = connected_components(fingerprint_links(classes, distance))
+    roots = save(linked.select(F.col("node").alias("fp"), F.col("component").alias("root")), "roots")
+    return rows.join(small(roots, roots.count()), "fp", "left").select("doc_id", "t1", "t2", "fp", F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_groups(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
     """(doc_id, fp, component_id) of every row: components of fingerprints that differ in at most `distance` bits.
 
@@ -201,28 +238,40 @@ def simhash_groups(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFr
     any other; a null doc_id never becomes a component_id unless nothing else is in the component; repeated rows
     stay as they are; extra columns are ignored; an empty table gives an empty result.
     """
-    rows = save(fingerprints(docs, width), "fingerprints")
-    classes = save(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    linked = connected_components(fingerprint_links(classes.select("fp"), distance))
-    rooted = save(classes.join(linked.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("root")), "rooted")
-    least = save(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")
-    named = save(rooted.join(least, "root").select("fp", "component_id"), "named")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    rows = save(simhash_rows(docs, width, distance), "rooted")
+    least = save(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
+    return rows.join(small(least, least.count()), "root").select("doc_id", "fp", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
-    """docs with one document of each component: the one with the smallest doc_id. Rows without a doc_id stay.
+    """docs with one document of each component of near fingerprints, as keep_first() has it."""
+    return keep_first(docs, save(simhash_rows(docs, width, distance), "rooted"), ["root"])
 
-    Where the surviving doc_id is on several rows, one of them stays.
-    """
-    return keep_first(docs, save(simhash_groups(docs, width, distance), "groups"))
 
+def keep_first(docs: DataFrame, rows: DataFrame, root: list[str]) -> DataFrame:
+    """docs with one row of each group: the one with the smallest doc_id, null ids last, of equal ids the one with the least text key.
 
-def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """docs without the documents whose component_id in groups is another doc_id, as drop_near_copies has it."""
-    gone = save(groups.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    kept = docs.join(small(gone, gone.count()), "doc_id", "left_anti")
-    repeated = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
+    rows: (doc_id, t1, t2) of every row of docs with the columns `root`, which tell its group. A row goes for its own text's
+    sake, so rows with equal ids and unlike texts stay. Of rows alike in doc_id and text one stays, the least by the hash
+    of its other columns. Extra columns move along whatever their names; an empty table gives an empty result.
+    """
+    key = ["doc_id", "t1", "t2"]
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), *key)
+    counted = save(rows.groupBy(*root, *key).agg(F.count(F.lit(1)).alias("n")), "row_keys")
+    first = save(counted.groupBy(*root).agg(F.min(place).alias("first")), "first")
+    judged = save(counted.join(small(first, first.count()), root).select(*key, "n", (place == F.col("first")).alias("stays")), "judged")
+    gone, repeated = judged.where("not stays").select(*key), judged.where("stays and n > 1").select(*key)
+    id_, (t1, t2) = F.col("doc_id").cast("long").alias("doc_id"), text_keys()
+    others = F.xxhash64(F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")), F.lit(0).alias("_"))))
+    keyed = packed(docs, "doc_id", "text").select("_row", id_, t1, t2)
+
+    def match(other: DataFrame, how: str, left: DataFrame) -> DataFrame:
+        o = small(other.select(*(F.col(c).alias(f"_{c}") for c in key)), other.count())
+        return left.join(o, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2")), how)
+
+    kept = match(gone, "left_anti", keyed)
     if not repeated.isEmpty():
-        kept = kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
-    return kept.select(*docs.columns)
+        alike = match(repeated, "left_semi", docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), id_, t1, t2, others.alias("_others")))
+        one = alike.groupBy(*key).agg(F.min_by("_row", "_others").alias("_row"))
+        kept = match(repeated, "left_anti", kept).select("_row").unionAll(one.select("_row"))
+    return unpacked(kept)
