@@ -38,6 +38,14 @@ def translate_pending(rows: DataFrame, source: str, target: str, load: Callable,
     return joined.withColumn(target, F.coalesce(target, "_done")).select(*rows.columns)
 
 
+def translation_job(rows: DataFrame, source: str, target: str, load: Callable, limit: int = 500) -> tuple[DataFrame, DataFrame]:
+    """(rows, counts) of a job over pending rows: translated, and skipped where the model gave nothing."""
+    pending = rows.withColumn("_pending", F.col(target).isNull() & F.col(source).isNotNull())
+    done = translate_pending(pending, source, target, load, limit)
+    given = F.coalesce(F.col(target), F.lit("")) != ""
+    return done.drop("_pending"), done.where("_pending").agg(F.count_if(given).alias("translated"), F.count_if(~given).alias("skipped"))
+
+
 def translate_values(rows: DataFrame, value: str, target: str, load: Callable) -> DataFrame:
     """rows with target worked out once for each distinct value and written to all rows that have it."""
     done = rows.where(F.col(value).isNotNull()).select(value).distinct().withColumn(target, translator(load)(value))

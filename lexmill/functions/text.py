@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -13,6 +14,53 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def prefix(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """An array whose k-th entry joins the first k + 1 entries of values: a sum, or a greatest or least value.
+
+    The scan doubles its reach in each round, so the work is n log n however long the array is; a fold that appends to an
+    array would copy it at every step.
+    """
+    rounds = F.sequence(F.lit(0), F.greatest(F.ceil(F.log2(F.size(values))).cast("int"), F.lit(0)))
+
+    def double(acc: Column, r: Column) -> Column:
+        reach = F.call_function("shiftleft", F.lit(1), r)
+        return F.transform(acc, lambda v, i: F.when(i >= reach, join(v, F.get(acc, i - reach))).otherwise(v))
+
+    return F.when(F.size(values) > 1, F.aggregate(rounds, values, double)).otherwise(values)
+
+
+#: Entries that one fold of opened() takes; folds over such blocks are joined.
+FOLD = 256
+
+
+def opened(values: Column, start: Column, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """The places of values (from 0) at which a fold from the left opens a new group.
+
+    step(state, value) gives (whether it opens one, the next state); the state is a double, `start` at first. Flags
+    gather block by block, so a long array is not copied at every entry.
+    """
+    kind = "struct<state:double,flags:array<boolean>>"
+    begin = F.struct(start.cast("double").alias("state"), F.array().cast("array<boolean>").alias("flags")).cast(kind)
+
+    def one(acc: Column, x: Column) -> Column:
+        opens, state = step(acc["state"], x)
+        return F.struct(state.cast("double").alias("state"), F.concat(acc["flags"], F.array(opens)).alias("flags")).cast(kind)
+
+    def block(acc: Column, k: Column) -> Column:
+        own = F.aggregate(F.slice(values, k * FOLD + 1, F.lit(FOLD)), F.struct(acc["state"].alias("state"), F.array().cast("array<boolean>").alias("flags")).cast(kind), one)
+        return let(own, lambda o: F.struct(o["state"].alias("state"), F.concat(acc["flags"], o["flags"]).alias("flags")).cast(kind))
+
+    blocks = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / FOLD).cast("int"))
+    flags = F.aggregate(blocks, begin, block, lambda acc: acc["flags"])
+    places = let(flags, lambda f: F.filter(F.transform(f, lambda x, i: F.when(x, i)), lambda i: i.isNotNull()))
+    return F.when(F.size(values) > 0, places).otherwise(F.array().cast("array<int>"))
+
+
+def grouped(values: Column, places: Column) -> Column:
+    """values cut before each of the places, as an array of arrays."""
+    return F.transform(places, lambda at, k: F.slice(values, at + 1, F.coalesce(F.get(places, k + 1), F.size(values)) - at))
+
+
 def squeeze(text: Column) -> Column:
     """White space of any kind, no-break spaces included, as single spaces; none at the ends."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
@@ -139,17 +187,12 @@ def matches(text: Column, pattern: str, groups: int) -> Column:
     Spark gives matches without their places; these follow from the lengths of the pieces between them.
     """
     found = [F.regexp_extract_all(text, F.lit(pattern), F.lit(k)) for k in range(groups + 1)]
-    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("piece"), *(f.alias(f"g{k}") for k, f in enumerate(found)))
     kind = "array<struct<start:int,end:int,g:array<string>>>"
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["piece"])
-        end = start + F.length(x["g0"])
-        row = F.struct(start.alias("start"), end.alias("end"), F.array(*(x[f"g{k}"] for k in range(groups + 1))).alias("g"))
-        return F.struct(end.alias("at"), F.concat(acc["rows"], F.array(row)).alias("rows"))
-
-    rows = F.aggregate(F.slice(zipped, F.lit(1), F.size(found[0])), F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("rows")), step, lambda acc: acc["rows"])
-    return F.when(text.rlike(pattern), rows).otherwise(F.array().cast(kind))
+    lengths = F.slice(F.arrays_zip(F.split(text, pattern, -1).alias("piece"), found[0].alias("g0")), F.lit(1), F.size(found[0]))
+    ends = let(F.transform(lengths, lambda x: F.length(x["piece"]) + F.length(x["g0"])), lambda n: prefix(n, lambda x, y: x + y))
+    zipped = F.arrays_zip(ends.alias("end"), *(f.alias(f"g{k}") for k, f in enumerate(found)))
+    rows = F.transform(zipped, lambda x: F.struct((x["end"] - F.length(x["g0"])).alias("start"), x["end"].alias("end"), F.array(*(x[f"g{k}"] for k in range(groups + 1))).alias("g")))
+    return F.when(text.rlike(pattern), rows.cast(kind)).otherwise(F.array().cast(kind))
 
 
 def excerpt(text: Column, start: Column, end: Column, before: int = 40, after: int = 40) -> Column:

@@ -5,19 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import let, matches, strip
+from lexmill.functions.text import grouped, let, matches, opened, strip
 
 
 def pack(parts: Column, limit: int, sep: str) -> Column:
-    """Parts joined by sep as long as the sum stays within limit; a larger part stands alone."""
+    """Parts joined by sep as long as the sum stays within limit; a larger part stands alone.
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.concat(last, F.lit(sep), x)
-        fits = (F.size(acc) > 0) & (F.length(joined) <= limit)
-        return F.when(fits, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(acc, F.array(x)))
+    A fold over lengths finds the places of the cuts; the parts are joined once.
+    """
+
+    def step(size: Column, n: Column):
+        joined = size + len(sep) + n
+        fits = (size >= 0) & (joined <= limit)
+        return ~fits, F.when(fits, joined).otherwise(n)
 
-    return F.aggregate(parts, F.array().cast("array<string>"), step)
+    lengths = F.transform(parts, lambda x: F.length(x))
+    places = let(lengths, lambda n: opened(n, F.lit(-1.0), step))
+    return let(places, lambda at: F.transform(grouped(parts, at), lambda group: F.array_join(group, sep)))
 
 
 def chunks(text: Column, limit: int = 500) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.functions.text import grouped, let, opened
+
 
 def _upto(by: list[str], order: list[str]) -> Window:
     return Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -63,21 +65,15 @@ def lines_of_words(words: DataFrame, by: list[str], drift: float = 3.0) -> DataF
     """(by..., line, text) from words (top, x0, text): a line holds words within `drift` of its first word's top.
 
     The anchor is the line's first word, not the word before, so slow drift does not chain lines together; a page's
-    words are folded in order within their row.
+    words are read in order within their row.
     """
-    ordered = words.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("top", "x0", "text"))).alias("w"))
-    kind = "struct<anchor:double,lines:array<array<struct<top:double,x0:double,text:string>>>>"
-
-    def step(acc: Column, x: Column) -> Column:
-        word = F.struct(x["top"].cast("double").alias("top"), x["x0"].cast("double").alias("x0"), x["text"].alias("text"))
-        fresh = acc["anchor"].isNull() | (F.abs(x["top"] - acc["anchor"]) > drift)
-        last = F.element_at(acc["lines"], -1)
-        body = F.slice(acc["lines"], F.lit(1), F.greatest(F.size(acc["lines"]) - 1, F.lit(0)))
-        grown = F.concat(body, F.array(F.concat(last, F.array(word))))
-        started = F.concat(acc["lines"], F.array(F.array(word)))
-        return F.struct(F.when(fresh, x["top"].cast("double")).otherwise(acc["anchor"]).alias("anchor"), F.when(fresh, started).otherwise(grown).alias("lines"))
-
-    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.array().cast("array<array<struct<top:double,x0:double,text:string>>>").alias("lines")).cast(kind)
-    lines = F.aggregate("w", start, step, lambda acc: acc["lines"])
+    one = F.struct(F.col("top").cast("double").alias("top"), F.col("x0").cast("double").alias("x0"), "text")
+    ordered = words.groupBy(*by).agg(F.array_sort(F.collect_list(one)).alias("w"))
+
+    def step(anchor: Column, x: Column):
+        fresh = anchor.isNull() | (F.abs(x["top"] - anchor) > drift)
+        return fresh, F.when(fresh, x["top"]).otherwise(anchor)
+
+    lines = let(opened(F.col("w"), F.lit(None), step), lambda at: grouped(F.col("w"), at))
     read = lambda ws: F.array_join(F.transform(F.array_sort(F.transform(ws, lambda w: F.struct(w["x0"], w["text"]))), lambda w: w["text"]), " ")
     return ordered.select(*by, F.posexplode(lines).alias("line", "_ws")).select(*by, "line", read(F.col("_ws")).alias("text"))

@@ -1,10 +1,11 @@
 import random
+import time
 from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from lexmill.functions import inference
-from lexmill.operators import chunks, classify, merge, ordered, rates
+from lexmill.functions import inference, text
+from lexmill.operators import chunks, classify, lookup, merge, ordered, rates
 from lexmill.sources import landing
 from lexmill.streaming import incremental
 
@@ -99,6 +100,41 @@ def test_chunks_and_pages(spark):
     assert got.p == ["a", "b" * 898, "c"] and got.at == "q\n\nPage 1/1"
 
 
+def brute_pack(parts, limit, sep):
+    out = []
+    for x in parts:
+        if out and len(out[-1]) + len(sep) + len(x) <= limit:
+            out[-1] += sep + x
+        else:
+            out.append(x)
+    return out
+
+
+def test_packing_and_matches_of_long_texts(spark):
+    """Against plain loops; a fold that copied its result at every step would take minutes here."""
+    rng = random.Random(5)
+    lines = ["x" * rng.randint(1, 30) for _ in range(60_000)]
+    frame = spark.createDataFrame([(lines, "ab1cé" * 60_000)], "lines array<string>, t string")
+    began = time.time()
+    got = frame.select(chunks.pack(F.col("lines"), 100, ", ").alias("p"), text.matches(F.col("t"), r"[a-z](\d)", 1).alias("m")).first()
+    assert time.time() - began < 40
+    assert got.p == brute_pack(lines, 100, ", ")
+    assert [(m.start, m.end, list(m.g)) for m in got.m] == [(5 * k + 1, 5 * k + 3, ["b1", "1"]) for k in range(60_000)]
+    few = spark.createDataFrame([([],), (["a"],), (["a" * 9, "b"],)], "p array<string>").select(chunks.pack(F.col("p"), 5, " ").alias("p")).collect()
+    assert [r.p for r in few] == [[], ["a"], ["a" * 9, "b"]]
+
+
+def test_heads_are_found_through_their_longest_word(spark):
+    rng = random.Random(6)
+    words = ["alpha", "beta", "x", "é", "_y", "7"]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", ", ", "-"]) for _ in range(rng.randint(0, 12))) for _ in range(200)] + [None, ""]
+    heads = [t[k : k + n] for t in texts[:80] if t for k, n in [(rng.randrange(len(t)), rng.randint(1, 12))]] + ["nothing of this", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    items = spark.createDataFrame(list(enumerate(heads)), "i int, h string")
+    found = {(r.k, r.i) for r in lookup.containing(docs, "k", "t", items, "i", "h").collect()}
+    assert found == {(k, i) for k, t in enumerate(texts) for i, h in enumerate(heads) if t is not None and h is not None and h in t}
+
+
 def extract(spark, topic, clause):
     rows = rates.extract(spark.createDataFrame([(1, clause)], "k int, text string"), topic).orderBy("ord").collect()
     return [(r.rate_type, r.context, r.value, r.unit) for r in rows], rows
