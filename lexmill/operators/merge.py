@@ -61,25 +61,28 @@ def last_rows(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def merge_rates(snapshot: DataFrame, found: DataFrame, keys: list[str], order: list[str], links: list[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """(new snapshot, outcome counts) of rates merged by null-safe keys in order; the last value wins.
+    """(new snapshot, outcome counts) of rates merged by null-safe keys as if one by one in order; the last value wins.
 
-    Rows without a value or effective_from are set aside as rejected. Equal values are skipped, but null link columns are
-    filled from the new row.
+    Rows without a value or effective_from are set aside as rejected. A row that creates a rate or changes its value gives
+    all of its columns; an equal value is skipped, but null link columns are filled from the first row of the key.
     """
     good = found.where(F.col("value").isNotNull() & F.col("effective_from").isNotNull())
-    prior = snapshot.select(*keys, "value").withColumn("_prior", F.lit(True))
-    staged = prior.select(*keys, "value", "_prior", *(F.lit(None).cast(good.schema[o].dataType).alias(o) for o in order)).unionByName(good.select(*keys, "value", *order).withColumn("_prior", F.lit(False)))
-    w = Window.partitionBy(*keys).orderBy(F.desc("_prior"), *(F.asc_nulls_first(o) for o in order))
-    status = F.when(F.col("_prior"), "present").when(F.row_number().over(w) == 1, "created").when(F.lag("value").over(w).eqNullSafe(F.col("value")), "skipped").otherwise("updated")
-    counts = staged.withColumn("s", status).agg(*(F.count_if(F.col("s") == s).alias(s) for s in ("created", "updated", "skipped")))
+    prior = snapshot.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("value").alias("_prior"), F.lit(True).alias("_there"))
+    staged = good.join(prior, reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys)), "left")
+    w = Window.partitionBy(*keys).orderBy(*order)
+    first = F.row_number().over(w) == 1
+    before = F.when(first, F.col("_prior")).otherwise(F.lag("value").over(w))
+    status = F.when(first & F.col("_there").isNull(), "created").when(before.eqNullSafe(F.col("value")), "skipped").otherwise("updated")
+    judged = staged.withColumns({"_status": status, "_first": first})
+    counts = judged.agg(*(F.count_if(F.col("_status") == s).alias(s) for s in ("created", "updated", "skipped")))
     rejected = found.where(F.col("value").isNull() | F.col("effective_from").isNull()).agg(F.count(F.lit(1)).alias("rejected"))
-    last = last_rows(good, keys, order).drop(*(o for o in order if o not in snapshot.columns))
-    merged = upsert(snapshot, last, keys, "value")
-    for link in links:
-        fill = last.select(*keys, F.col(link).alias("_fill"))
-        m = merged
-        test = reduce(lambda x, y: x & y, (m[k].eqNullSafe(fill[k]) for k in keys))
-        merged = m.join(fill, test, "left").select(*(F.coalesce(m[link], F.col("_fill")).alias(c) if c == link else m[c] for c in snapshot.columns))
+    winners = last_rows(judged.where("_status <> 'skipped'"), keys, order).select(*(c if c in found.columns else F.lit(None).cast(snapshot.schema[c].dataType).alias(c) for c in snapshot.columns))
+    none_of = lambda left, right: left.join(right, _same(keys, left, right), "left_anti")
+    merged = none_of(snapshot, winners.select(*keys)).unionByName(winners)
+    if links:
+        fill = judged.where("_first").select(*(F.col(k).alias(f"_k_{k}") for k in keys), *(F.col(c).alias(f"_f_{c}") for c in links))
+        filled = merged.join(fill, reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys)), "left")
+        merged = filled.select(*(F.coalesce(c, f"_f_{c}").alias(c) if c in links else F.col(c) for c in snapshot.columns))
     return merged, counts.crossJoin(rejected)  # one row each
 
 
@@ -98,6 +101,86 @@ def new_versions(old: DataFrame, new: DataFrame, key: str, url: str) -> DataFram
     return kept.unionByName(fresh.withColumn("is_current", F.lit(True)), allowMissingColumns=True)
 
 
+def agreement_versions(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(new snapshot, status by url) of agreements (url, key, name, hash, valid_from, valid_until, is_parsed, is_current).
+
+    A known link with the same hash: missing dates are filled, a name is replaced, and it counts as parsed; the status is
+    skipped if nothing of that changed. A known link with another hash: the hash is replaced, and its clauses are to be made
+    anew (clear_clauses). A new link is a version of its own: it retires the current row of its key (updated), or is the
+    first (created). Links occur once in new; rows that new lacks stay.
+    """
+    named = lambda df, p: df.select(*(F.col(c).alias(f"{p}{c}") for c in df.columns))
+    both = named(old, "o_").join(named(new, "n_"), F.col("o_url") == F.col("n_url"), "full_outer")
+    known, given = F.col("o_url").isNotNull(), F.col("n_url").isNotNull()
+    same = known & given & F.col("o_hash").eqNullSafe(F.col("n_hash"))
+    dates = [F.col(f"o_{c}").isNull() & F.col(f"n_{c}").isNotNull() for c in ("valid_from", "valid_until")]
+    renamed = F.coalesce(F.col("n_name"), F.lit("")) != ""
+    renamed = renamed & ~F.col("o_name").eqNullSafe(F.col("n_name"))
+    changed = reduce(lambda a, b: a | b, [*dates, renamed, ~F.col("o_is_parsed")])
+    current = old.where("is_current").select(F.col("key").alias("_key")).distinct().withColumn("_had", F.lit(True))
+    status = F.when(same, F.when(changed, "updated").otherwise("skipped")).when(known & given, "updated").when(F.col("_had"), "updated").otherwise("created")
+    marked = both.join(current, F.col("n_key") == F.col("_key"), "left").withColumns({"_status": F.when(given, status), "_clear": known & given & ~same})
+    retired = marked.where(~known).select(F.col("n_key").alias("_gone")).distinct()
+    value = {
+        "url": F.coalesce("o_url", "n_url"), "key": F.when(known, F.col("o_key")).otherwise(F.col("n_key")),
+        "name": F.when(same & renamed | ~known, F.col("n_name")).otherwise(F.col("o_name")),
+        "hash": F.when(given, F.col("n_hash")).otherwise(F.col("o_hash")),
+        **{c: F.when(~known, F.col(f"n_{c}")).otherwise(F.when(same, F.coalesce(f"o_{c}", f"n_{c}")).otherwise(F.col(f"o_{c}"))) for c in ("valid_from", "valid_until")},
+        "is_parsed": F.when(known & given, F.lit(True)).when(known, F.col("o_is_parsed")).otherwise(F.lit(False)),
+        "is_current": F.when(~known, F.lit(True)).otherwise(F.col("o_is_current") & F.col("_gone").isNull()),
+    }
+    placed = marked.join(retired, F.col("o_key") == F.col("_gone"), "left")
+    snapshot = placed.select(*(value[c].alias(c) for c in old.columns))
+    return snapshot, marked.where(given).select(F.col("n_url").alias("url"), F.col("_status").alias("status"), F.col("_clear").alias("clear_clauses"))
+
+
+def upsert_guidance(old: DataFrame, new: DataFrame, n: int = 50) -> DataFrame:
+    """(topic, url, title, text, hash, status): guidance merged by topic, link and the first n letters of the title.
+
+    new: (topic, url, title, text, hash, agreement). An old row whose title contains the head of a new one is that one: an
+    equal hash leaves it alone, another replaces title, text and hash. What has no old row is created, its title led by
+    the name of its agreement. Of several old rows that fit, the one with the least title is taken.
+    """
+    head = F.substring("title", 1, n)
+    fresh = new.withColumns({"_head": head, "_place": F.xxhash64("topic", "url", head, "hash")})
+    groups = old.select("topic", "url", F.col("title").alias("_title"), "hash")
+    # both sides share topic and link; titles are compared in order of their heads only within such a group
+    met = fresh.select("topic", "url", "_head", "_place").distinct().join(groups.select("topic", "url", "_title").distinct(), ["topic", "url"]).where(F.contains("_title", "_head"))
+    best = met.groupBy("topic", "url", "_head").agg(F.min("_title").alias("_title"))
+    matched = fresh.join(best, ["topic", "url", "_head"], "left")
+    prior = old.select("topic", "url", F.col("title").alias("_title"), F.col("text").alias("_text"), F.col("hash").alias("_hash"))
+    both = prior.join(matched, ["topic", "url", "_title"], "full_outer")
+    status = F.when(F.col("_place").isNull(), "absent").when(F.col("_title").isNull(), "created").when(F.col("_hash").eqNullSafe(F.col("hash")), "skipped").otherwise("updated")
+    keep = F.col("status").isin("absent", "skipped")
+    rated = both.withColumn("status", status)
+    title = F.when(keep, F.col("_title")).when(F.col("status") == "created", F.concat_ws(": ", "agreement", "title")).otherwise(F.col("title"))
+    return rated.select("topic", "url", title.alias("title"), F.when(keep, F.col("_text")).otherwise(F.col("text")).alias("text"), F.when(keep, F.col("_hash")).otherwise(F.col("hash")).alias("hash"), "status")
+
+
+def upsert_acts(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Snapshots of acts, chapters, sections and paragraphs after a parse; and `statuses`, one row a section of the parse.
+
+    acts: (act, name, url, version_date) by act, always overwritten, the date only by one that is there. chapters: (act,
+    chapter, title) by both, the title overwritten. sections: (act, chapter, section, title, hash, translated) by the first
+    three: replaced if the hash differs or was null, translations reset. paragraphs: (act, chapter, section,
+    order_index, text): those of new or changed sections are replaced. What the parse lacks stays.
+    """
+    key = ["act", "chapter", "section"]
+    status = hash_diff(old["sections"], new["sections"], key, "hash")
+    # a section without a hash is parsed anew
+    no_hash = old["sections"].where("hash is null").select(*key).withColumn("_redo", F.lit(True))
+    status = status.join(no_hash, key, "left").withColumn("status", F.when((F.col("status") == "unchanged") & F.col("_redo"), "updated").otherwise(F.col("status"))).drop("_redo")
+    changed = status.where("status in ('created', 'updated')")
+    dated = new["acts"].join(old["acts"].select("act", F.col("version_date").alias("_v")), "act", "left").withColumn("version_date", F.coalesce("version_date", "_v")).drop("_v")
+    return {
+        "acts": upsert(old["acts"], dated, ["act"], "name", always=["name", "url", "version_date"]),
+        "chapters": upsert(old["chapters"], new["chapters"], ["act", "chapter"], "title"),
+        "sections": upsert(old["sections"], new["sections"], key, "hash", reset=["translated"]),
+        "paragraphs": replace_children(old["paragraphs"], new["paragraphs"], changed, key),
+        "statuses": status.where("status <> 'absent'"),
+    }
+
+
 def clear_in_scope(rows: DataFrame, columns: list[str], scope: DataFrame | None, key: str) -> DataFrame:
     """rows with columns set to null where key is in scope; without a scope everywhere. A dry run counts `_cleared`."""
     flagged = rows.withColumn("_in", F.lit(True)) if scope is None else rows.join(scope.select(key).distinct().withColumn("_in", F.lit(True)), key, "left")

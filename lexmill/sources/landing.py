@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import absolute_url, content_hash, html_unescape, squeeze
+from lexmill.functions.text import absolute_url, content_hash, html_unescape, let, markdown_table, matches, plain_dashes, squeeze, strip
+from lexmill.functions.values import dmy, year_range
 from lexmill.operators.classify import eligible_url
 from lexmill.operators.ordered import carry_forward, first_wins, sections
 
@@ -137,3 +138,90 @@ def agreement_clauses(pages: DataFrame, key: str, least: int = 80) -> DataFrame:
     """(key, section, title, body) of agreement pages: an h3 with a section sign, or any shorter heading that begins with a number and one, starts a clause."""
     head = ((F.col("tag") == "h3") & F.col("text").contains("§")) | (F.col("tag").rlike("^h[2-6]$") & (F.length("text") < 150) & F.col("text").rlike(r"^\d+\s*§"))
     return sections(html_blocks(pages, key), [key], ["ord"], head, "text").where(F.length("body") >= least)
+
+
+def _inner(html: Column, tag: str) -> Column:
+    return F.regexp_extract_all(html, F.lit(rf"(?is)<(?:{tag})\b[^>]*>(.*?)</(?:{tag})\s*>"), F.lit(1))
+
+
+def as_text(html: Column) -> Column:
+    """Markup as paragraphs: tables as Markdown, what other blocks hold as lines of text, blank ones left out."""
+    table = r"(?is)<table\b[^>]*>.*?</table\s*>"
+    block_end = r"(?i)</(?:p|div|ul|ol|li|h[1-6]|pre|section|article|blockquote)\s*>"
+    between = F.transform(F.split(html, table, -1), lambda x: F.array_join(F.filter(F.transform(F.split(x, block_end), lambda part: plain(part)), lambda part: part != ""), "\n\n"))
+    cells = lambda row: F.transform(_inner(row, "td|th"), lambda c: plain(c))
+    tables = F.transform(F.regexp_extract_all(html, F.lit(table), F.lit(0)), lambda x: let(F.filter(F.transform(_inner(x, "tr"), cells), lambda r: F.size(r) > 0), lambda rows: F.when(F.size(rows) > 0, markdown_table(rows)).otherwise("")))
+    parts = F.flatten(F.transform(F.arrays_zip(between.alias("a"), tables.alias("b")), lambda x: F.array(x["a"], F.coalesce(x["b"], F.lit("")))))
+    return F.array_join(F.filter(parts, lambda x: x != ""), "\n\n")
+
+
+def chapter_clauses(pages: DataFrame, key: str, container: str, html: str = "html", least: int = 80, footers: tuple[str, ...] = ()) -> DataFrame:
+    """(key, ord, section, title, body) of chapter pages: an h2 with a section sign starts a clause.
+
+    Only what follows the opening <div> whose class holds `container`, up to the page's footer, is read; pages without it give
+    nothing. A page without such an h2 is one clause under its h1, if that has a section sign. section is the sign with the
+    number that leads the title, or with ? where none does. Bodies shorter than `least` are dropped; `footers` are cut out.
+    """
+    clean = F.regexp_replace(F.col(html), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", "")
+    inside = F.regexp_extract(clean, rf"""(?is)<div\b[^>]*class\s*=\s*["'][^"']*{container}[^"']*["'][^>]*>(.*?)(?:<footer\b|</article|</main|</body|$(?![\r\n]))""", 1)
+    rows = pages.select(key, inside.alias("_in"), F.regexp_extract(clean, r"(?is)<h1\b[^>]*>(.*?)</h1\s*>", 1).alias("_h1")).where("_in <> ''")
+    heads = F.filter(matches(F.col("_in"), r"(?is)<h2\b[^>]*>(.*?)</h2\s*>", 1), lambda m: m["g"][1].contains("§"))
+
+    def cut(found: Column) -> Column:
+        end = lambda i: F.coalesce(F.get(found, i + 1)["start"], F.length("_in"))
+        return F.transform(found, lambda m, i: F.struct(plain(m["g"][1]).alias("title"), F.substring(F.col("_in"), m["end"] + 1, end(i) - m["end"]).alias("html")))
+
+    whole = F.when(F.col("_h1").contains("§"), F.array(F.struct(plain(F.col("_h1")).alias("title"), F.col("_in").alias("html")))).otherwise(F.array().cast("array<struct<title:string,html:string>>"))
+    clauses = let(heads, lambda found: F.when(F.size(found) > 0, cut(found)).otherwise(whole))
+    each = rows.select(key, F.posexplode(clauses).alias("ord", "c"))
+    body = as_text(F.col("c.html"))
+    number = F.regexp_extract("c.title", r"^(\d+)\s*§\s*(.*)$", 1)
+    title = F.when(number != "", F.trim(F.regexp_extract("c.title", r"^(\d+)\s*§\s*(.*)$", 2))).otherwise(F.col("c.title"))
+    out = each.select(key, "ord", F.when(number != "", F.concat(F.lit("§ "), number)).otherwise("§ ?").alias("section"), title.alias("title"), body.alias("body")).where(F.length("body") >= least)
+    for footer in footers:
+        out = out.withColumn("body", strip(F.replace("body", F.lit(footer), F.lit(""))))
+    return out
+
+
+def version_links(pages: DataFrame, key: str, base: str, pattern: str) -> DataFrame:
+    """(key, ord, slug, period, href) of a catalogue's links to versions; pattern's groups are slug and period; of equal versions the first."""
+    links = html_links(pages, key, base).where(F.regexp_extract("href", pattern, 1) != "")
+    named = links.select(key, "ord", F.regexp_extract("href", pattern, 1).alias("slug"), F.regexp_extract("href", pattern, 2).alias("period"), "href")
+    return first_wins(named, ["slug", "period"], [F.col(key), F.col("ord")])
+
+
+def version_pages(pages: DataFrame, key: str, base: str, slug: str, period: str, ending: str, tail: str, sectors: dict[str, str], html: str = "html") -> DataFrame:
+    """(key, name, full_url, valid_from, valid_until, sector) of landed version pages that link to their full text.
+
+    The name is the page's og:title without the words `tail` at its end, dashes made plain, or the slug in capitals;
+    the full text is the first link that ends in `ending`; validity is read from the name, else from the period. A sector
+    that is not listed is the slug in words.
+    """
+    first = first_wins(html_links(pages, key, base, html).where(F.col("href").endswith(ending)), [key], [F.col("ord")]).select(F.col(key).alias("_k"), F.col("href").alias("full_url"))
+    meta = F.regexp_extract(F.col(html), r"""(?is)<meta\b[^>]*property\s*=\s*["']og:title["'][^>]*content\s*=\s*["']([^"']*)["']""", 1)
+    name = F.replace(plain_dashes(F.trim(F.regexp_replace(F.trim(html_unescape(meta)), rf"(?iu)\s*[-–]\s*{tail}\s*[>»]?\s*$", ""))), F.lit("?"), F.lit("-"))
+    named = pages.select(key, slug, F.col(period).alias("_period"), F.when(meta != "", name).otherwise(F.upper(slug)).alias("name"))
+    since = dmy(F.nullif(F.regexp_extract("name", r"(?iu)voimassa\s+(\d{1,2}\.\d{1,2}\.\d{4})", 1), F.lit("")))
+    here, link = year_range(F.col("name")), year_range(F.col("_period"))
+    table = F.create_map(*(F.lit(x) for kv in sectors.items() for x in kv)) if sectors else F.create_map().cast("map<string,string>")
+    words = F.replace(slug, F.lit("-"), F.lit(" "))
+    sector = F.coalesce(F.try_element_at(table, F.col(slug)), F.concat(F.upper(F.substring(words, 1, 1)), F.lower(F.substring(words, 2, 1000))))
+    first_day = F.coalesce(since, here["first"], link["first"])
+    until = F.coalesce(F.when(since.isNull(), here["last"]), link["last"])
+    return named.join(first, F.col(key) == F.col("_k")).select(key, "name", "full_url", first_day.alias("valid_from"), until.alias("valid_until"), sector.alias("sector"))
+
+
+def chapter_pages(pages: DataFrame, key: str, base: str, marker: str, html: str = "html") -> DataFrame:
+    """(key, agreement, name, valid_from, valid_until, ord, href) of landed index pages: a row for each distinct link to a chapter.
+
+    The agreement is the last part of the page's link, the name its h1, validity the first range of days in its text.
+    Pages without a chapter give nothing.
+    """
+    chapters = first_wins(html_links(pages, key, base, html).where(F.col("href").contains(marker)), [key, "href"], [F.col("ord")]).select(F.col(key).alias("_k"), "ord", "href")
+    days = r"(\d{1,2}\.\d{1,2}\.\d{4})\s*[–-]\s*(\d{1,2}\.\d{1,2}\.\d{4})"
+    words = plain(F.regexp_replace(F.col(html), r"(?is)<(script|style)\b.*?</\1\s*>", ""))
+    head = plain(F.regexp_extract(F.col(html), r"(?is)<h1\b[^>]*>(.*?)</h1\s*>", 1))
+    agreement = F.element_at(F.split(F.rtrim(F.col(base), F.lit("/")), "/"), -1)
+    index = pages.select(key, agreement.alias("agreement"), head.alias("name"), words.alias("_w"))
+    day = lambda k: dmy(F.nullif(F.regexp_extract("_w", days, k), F.lit("")))
+    return index.join(chapters, F.col(key) == F.col("_k")).select(key, "agreement", "name", day(1).alias("valid_from"), day(2).alias("valid_until"), "ord", "href")

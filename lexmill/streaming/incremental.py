@@ -24,10 +24,11 @@ def merge_batch(old: DataFrame | None, batch: DataFrame, key: str, order: str) -
     return last if old is None else upsert(old, last, [key], "content_hash")
 
 
-def follow(spark: SparkSession, path: str, schema: StructType, rules: list[Keyword], store: str, checkpoint: str, key: str, order: str, run: Callable | None = None):
+def follow(spark: SparkSession, path: str, schema: StructType, rules: list[Keyword], store: str, checkpoint: str, key: str, order: str, run: Callable | None = None, keep: int = 2):
     """Start a stream over Parquet files that land at path; every batch writes the next snapshot below store as v=<batch>.
 
-    A batch that is run again writes the same version again, so a restart after a lost driver leaves each document once.
+    A batch that is run again writes the same version again, so a restart after a lost driver leaves each document once. The
+    last `keep` versions stay, of which a restart needs two.
     Returns the query; the trigger takes what is there and ends.
     """
 
@@ -35,6 +36,8 @@ def follow(spark: SparkSession, path: str, schema: StructType, rules: list[Keywo
         session = batch.sparkSession
         old = session.read.schema(batch.schema).parquet(f"{store}/v={number - 1}") if number else None
         merge_batch(old, batch, key, order).write.mode("overwrite").parquet(f"{store}/v={number}")
+        path = session.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store}/v={number - max(keep, 2)}")
+        path.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
         if run:
             run(number)
 
