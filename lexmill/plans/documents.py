@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import inference, text, values
 from lexmill.operators import chunks, classify, lookup, merge, ordered, rates, situation
+from lexmill.plans import sql
 from lexmill.plans.registry import Tables, query
 from lexmill.sources import landing
 
@@ -133,12 +134,16 @@ def c10_length_route(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", chunks.length_route(F.col("text")).alias("route"))
 
 
-@query()
+def _each(listed: str, name: str) -> str:
+    return f"with l as (select doc_id, {listed} as parts from documents) select doc_id, unnest(parts) as {name}, cast(generate_subscripts(parts, 1) - 1 as int) as pos from l"
+
+
+@query(_each(sql.chunks("text"), "chunk"))
 def c11_chunks(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.posexplode(chunks.chunks(F.col("text"))).alias("pos", "chunk"))
 
 
-@query()
+@query(_each(sql.pages("text"), "page"))
 def c12_pager(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.posexplode(chunks.pages(F.col("text"))).alias("pos", "page"))
 
@@ -153,7 +158,14 @@ def c13_needs_translation(t: Tables) -> DataFrame:
 CLAUSES = "concat('Intro ', doc_id, chr(10), '1 § Scope ... 3', chr(10), '1 § Scope', chr(10), concat(text, repeat('x', greatest(0, 120 - length(text)))), chr(10), '2 § Terms', chr(10), 'short', chr(10), '3 § Pay', chr(10), concat(text, repeat('y', greatest(0, 200 - length(text)))))"
 
 
-@query()
+HEADER = r"^[ \t]*(\d+)\s*§[ \t]*([^\n]*)$"
+
+
+@query(rf"""with c as (select doc_id, {CLAUSES} as t from documents), l as (select doc_id, t, unnest(string_split(t, chr(10))) as line, generate_subscripts(string_split(t, chr(10)), 1) as i from c),
+p as (select *, cast(sum(length(line) + 1) over (partition by doc_id order by i) - length(line) - 1 as bigint) as pos, regexp_extract(line, '{HEADER}', 2) as title from l),
+h as (select *, row_number() over (partition by doc_id order by i) - 1 as ord, coalesce(lead(pos) over (partition by doc_id order by i), length(t)) as stop from p where regexp_matches(line, '{HEADER}') and not regexp_matches(title, '(\.{{3,}}|\s)\s*\d+\s*$') and not regexp_matches(trim(title), '^[:)]')),
+b as (select *, {sql.strip("substring(t, pos + length(line) + 1, least(stop - pos - length(line), 30000))")} as body from h)
+select doc_id, ord, regexp_extract(line, '{HEADER}', 1) as number, trim(title) as title, body, pos as start from b where length(body) >= 100""")
 def c15_clauses(t: Tables) -> DataFrame:
     texts = t.documents.select("doc_id", F.expr(CLAUSES.replace("chr(10)", "'\\n'")).alias("clause_text"))
     return chunks.clauses(texts, "doc_id", "clause_text")
@@ -296,17 +308,17 @@ def x21_sick_leave(t: Tables) -> DataFrame:
     return rates.extract(clause_texts(t), "sick_leave").select("doc_id", "rate_type", (F.col("value") * 100).cast("long").alias("cents"), "unit")
 
 
-@query()
+@query(sql.blocks("html", "page_id", "pages"))
 def s05_html_blocks(t: Tables) -> DataFrame:
     return landing.html_blocks(t.pages, "page_id")
 
 
-@query()
+@query(sql.links("html", "page_id", "url", "pages"))
 def s06_links(t: Tables) -> DataFrame:
     return landing.html_links(t.pages, "page_id", "url")
 
 
-@query()
+@query(sql.sections("page_id", sql.blocks("html", "page_id", "pages"), "tag = 'h1'", 1))
 def s07_page_sections(t: Tables) -> DataFrame:
     return landing.page_sections(t.pages, "page_id", "h1", 1)
 
@@ -327,8 +339,8 @@ def _by_user():
     return Window.partitionBy("user_id").orderBy("line")
 
 
-@query()
+@query(f"select doc_id, array_to_string(list_transform({sql.chunks('text')}, lambda c: replace(c, 'e', '3')), ' ') as text_en from documents")
 def uf02_translate(t: Tables) -> DataFrame:
-    """Documents with a text worked out by a model; here a stand-in that reverses each chunk."""
-    load = lambda: lambda texts: [x[::-1] for x in texts]
+    """Documents with a text worked out by a model; here a stand-in that changes a letter in each chunk."""
+    load = lambda: lambda texts: [x.replace("e", "3") for x in texts]
     return inference.translate_pending(t.documents.select("doc_id", "text", F.lit(None).cast("string").alias("text_en")), "text", "text_en", load).select("doc_id", "text_en")

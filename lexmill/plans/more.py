@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import text
 from lexmill.operators import agreements, classify, lookup, merge, ordered, rates
+from lexmill.plans import sql
 from lexmill.plans.documents import RULES, topic_sql
 from lexmill.plans.registry import Tables, query
 from lexmill.sources import landing
@@ -100,8 +101,7 @@ def c06_sector_filter(t: Tables) -> DataFrame:
 @query(f"with t as ({topic_sql('text')}) select coalesce(topic, 'none') as topic, count(*) as n, min(doc_id) as first_doc from documents d left join t using (doc_id) group by 1")
 def c08_topic_page(t: Tables) -> DataFrame:
     topics = t.documents.select("doc_id", F.coalesce(classify.topic_of(F.col("text"), RULES), F.lit("none")).alias("topic"))
-    nested = lookup.nest(topics.select("topic").distinct(), topics, "topic", ["doc_id"], "docs")
-    return nested.select("topic", F.size("docs").cast("long").alias("n"), F.col("docs")[0]["doc_id"].alias("first_doc"))
+    return topics.groupBy("topic").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
 
 
 @query("""select c_custkey, 'Agreement of ' || c_mktsegment as name, (2020 + c_nationkey % 3) || '-02-01' as first, (2024 + c_nationkey % 3) || '-01-31' as last from customer""")
@@ -113,13 +113,30 @@ def c14_metadata(t: Tables) -> DataFrame:
     return rows.select("c_custkey", agreements.agreement_name(F.col("h"), ["valid"]).alias("name"), period["first"].alias("first"), period["last"].alias("last"))
 
 
-@query()
+C16_HTML = "concat('<h3>§ ', page_id, ' Scope</h3><div>', html, '</div><h2>2 § Pay</h2><p>', repeat('pay ', 40), '</p>')"
+C16_HEAD = r"(tag = 'h3' and contains(text, '§')) or (tag in ('h2', 'h3', 'h4', 'h5', 'h6') and length(text) < 150 and regexp_matches(text, '^\d+\s*§'))"
+
+
+@query(sql.sections("page_id", sql.blocks("html", "page_id", f"(select page_id, {C16_HTML} as html from pages)"), C16_HEAD, 80))
 def c16_html_clauses(t: Tables) -> DataFrame:
-    body = F.concat(F.lit("<h3>§ "), F.col("page_id"), F.lit(" Scope</h3><div>"), F.col("html"), F.lit("</div><h2>2 § Pay</h2><p>"), F.repeat(F.lit("pay "), F.lit(40)), F.lit("</p>"))
-    return landing.agreement_clauses(t.pages.select("page_id", body.alias("html")), "page_id")
+    return landing.agreement_clauses(t.pages.select("page_id", F.expr(C16_HTML).alias("html")), "page_id")
+
+
+#: Chapter pages: every third has no header with a section sign but its h1.
+C17_HTML = """concat('<h1>', page_id, ' § Whole</h1><nav><h2>9 § Menu</h2></nav><div id="x" class="tes content-main">', case when page_id % 3 = 0 then '<h2>Plain</h2>' else '<h2>1 § <b>Scope</b> &amp; aim</h2>' end, '<p>', repeat('One line. ', cast(page_id % 12 as int)), '</p><div><p>two  two</p></div><table><tr><th>a</th><th>b</th></tr><tr><td>', page_id, '</td></tr><tr><td>x</td><td>y</td><td>z</td></tr></table>',
+case when page_id % 3 = 0 then '' else '<h2>Unsigned</h2><p>back to top</p><h2>Pay § rates</h2>' end, '<pre>', repeat('pay ', cast(page_id % 40 as int)), '</pre></div><footer><p>end</p></footer>')"""
+C17_FIRST = "array_to_string(list_filter([trim(repeat('One line. ', cast(page_id % 12 as int))), 'two two'], lambda x: x <> ''), chr(10) || chr(10)) || chr(10) || chr(10) || '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || page_id || ' |  |' || chr(10) || '| x | y |'"
+C17_PAY = "trim(repeat('pay ', cast(page_id % 40 as int)))"
+GAP = "chr(10) || chr(10)"
+
 
+@query(f"""with c as (select page_id, 0 as ord, '§ 1' as section, 'Scope & aim' as title, {C17_FIRST} || {GAP} || 'Unsigned' || {GAP} as body from pages where page_id % 3 <> 0 union all select page_id, 1, '§ ?', 'Pay § rates', {C17_PAY} from pages where page_id % 3 <> 0
+union all select page_id, 0, '§ ' || page_id, 'Whole', 'Plain' || {GAP} || {C17_FIRST} || case when {C17_PAY} <> '' then {GAP} || {C17_PAY} else '' end from pages where page_id % 3 = 0) select page_id, ord, section, title, {sql.strip("body")} as body from c where length(case when section = '§ 1' then body || 'back to top' else body end) >= 80""")
+def c17_chapter_clauses(t: Tables) -> DataFrame:
+    return landing.chapter_clauses(t.pages.select("page_id", F.expr(C17_HTML).alias("html")), "page_id", "content", footers=("back to top",))
 
-@query()
+
+@query(sql.sections("page_id", sql.blocks("html", "page_id", "(select page_id, '<h2>' || url || '</h2>' || replace(html, 'h1>', 'h2>') as html from pages)"), "tag = 'h2'", 80))
 def c17_h2_sections(t: Tables) -> DataFrame:
     body = F.concat(F.lit("<h2>"), F.col("url"), F.lit("</h2>"), F.regexp_replace("html", "h1>", "h2>"))
     return landing.page_sections(t.pages.select("page_id", body.alias("html")), "page_id", "h2", 80)
@@ -129,9 +146,11 @@ def c17_h2_sections(t: Tables) -> DataFrame:
 select n.topic, n.url, n.head, exists (select 1 from o where o.topic = n.topic and o.url = n.url and contains(o.text, n.head)) as present from n""")
 def w03_match_by_prefix(t: Tables) -> DataFrame:
     keys = [F.col("source").alias("topic"), F.col("lang").alias("url")]
-    old = t.documents.join(t.labels.select("doc_id"), "doc_id", "left_semi").select(*keys, F.col("text").alias("old_text"))
+    # the item of a head is the head itself, with its topic and link
+    old = t.documents.join(t.labels.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", *keys, F.col("text").alias("old_text"))
     new = t.documents.select(*keys, F.substring("text", 1, 50).alias("head")).distinct()
-    hit = new.join(old, ["topic", "url"]).where(lookup.starts_like(F.col("old_text"), F.col("head"))).select("topic", "url", "head").distinct().withColumn("hit", F.lit(True))
+    asked = new.select(F.struct("topic", "url", "head").alias("item"), "*")
+    hit = lookup.containing(old, "doc_id", "old_text", asked, "item", "head", ("topic", "url")).select("item.*").distinct().withColumn("hit", F.lit(True))
     return new.join(hit, ["topic", "url", "head"], "left").select("topic", "url", "head", F.coalesce("hit", F.lit(False)).alias("present"))
 
 
@@ -185,18 +204,51 @@ query("""select doc_id, 'annual_leave_days' as rate_type, 'taulukko' || (k // 12
 )
 
 
-@query()
+@query(r"select doc_id, 1 as chapter, 'General' as chapter_title, cast(doc_id as int) as section, 'Scope' as section_title, 0 as order_index, trim(regexp_replace(text, '\s+', ' ', 'g')) as text from documents where trim(regexp_replace(text, '\s+', ' ', 'g')) <> ''")
 def s03_statutes(t: Tables) -> DataFrame:
     xml = F.concat(F.lit('<akn:act xmlns:akn="u" dateProduced="2024-01-02"><akn:chapter><akn:num>1 luku</akn:num><akn:heading>General</akn:heading><akn:section><akn:num>'), F.col("doc_id"), F.lit(" §</akn:num><akn:heading>Scope</akn:heading><akn:p>"), text.html_escape(F.col("text")), F.lit("</akn:p></akn:section></akn:chapter></akn:act>"))
     return landing.statute_paragraphs(t.documents.select("doc_id", xml.alias("xml")), "doc_id")
 
 
-@query()
+@query(f"with p as (select page_id, url, {sql.plain('html')} as answer from pages) select page_id, 0 as ord, {sql.plain('url')} as question, answer from p where length(answer) >= 50")
 def s08_faq(t: Tables) -> DataFrame:
     html = F.concat(F.lit("<details><summary>"), F.col("url"), F.lit("</summary>"), F.col("html"), F.lit("</details>"))
     return landing.faq_pairs(t.pages.select("page_id", html.alias("html")), "page_id")
 
 
-@query()
+@query(f"""with l as ({sql.links("html", "page_id", "url", "pages")}), k as (select * from l where contains(href, 'http') and contains(href, '.') and rtrim(href, '/') <> 'https://example.com' and not contains(href, 'login'))
+select page_id, ord, href, text from (select *, row_number() over (partition by href order by page_id, ord) as rn from k) where rn = 1""")
 def s09_discovery(t: Tables) -> DataFrame:
     return landing.discover(t.pages, {"marker": "http", "domain": ".", "catalog_url": "https://example.com", "excluded": ["login"]})
+
+
+#: A catalogue page for each page with links to versions, and a version page with its title and its links.
+S10_CATALOGUE = "concat('<a href=\"/sopimukset/a', page_id % 7, '/', 2020 + page_id % 4, '-', 2024 + page_id % 4, '\">one</a><a href=\"/sopimukset/a', page_id % 7, '\">no</a><a href=\"/sopimukset/a', page_id % 7, '/', 2020 + page_id % 4, '-', 2024 + page_id % 4, '\">again</a>')"
+S10_PATTERN = r"^https://www\.example\.com/sopimukset/([^/]+)/(20\d{2}-20\d{2})$"
+
+
+@query("""select page_id, ord, slug, period, href from (select *, row_number() over (partition by slug, period order by page_id, ord) as rn from (select page_id, unnest([0, 2]) as ord, 'a' || (page_id % 7) as slug, (2020 + page_id % 4) || '-' || (2024 + page_id % 4) as period, 'https://www.example.com/sopimukset/a' || (page_id % 7) || '/' || (2020 + page_id % 4) || '-' || (2024 + page_id % 4) as href from pages)) where rn = 1""")
+def s10_version_links(t: Tables) -> DataFrame:
+    pages = t.pages.select("page_id", F.lit("https://www.example.com/sopimukset").alias("url"), F.expr(S10_CATALOGUE).alias("html"))
+    return landing.version_links(pages, "page_id", "url", S10_PATTERN)
+
+
+S10_VERSION = "concat('<head><meta property=\"og:title\" content=\"', case when page_id % 4 = 0 then concat('Aa ', 2020 + page_id % 5, '–', 2023 + page_id % 5) when page_id % 4 = 1 then concat('Bb, voimassa 1.', page_id % 12 + 1, '.2025 lukien') else 'Cc? dd' end, ' – Sähköinen Sopimuskirja &gt;\"></head><a href=\"/x\">x</a>', case when page_id % 5 <> 0 then concat('<a href=\"/k/', page_id, '/kokoteksti\">all</a><a href=\"/other/kokoteksti\">o</a>') else '' end)"
+
+
+@query("""select page_id, case when page_id % 4 = 0 then concat('Aa ', 2020 + page_id % 5, '-', 2023 + page_id % 5) when page_id % 4 = 1 then concat('Bb, voimassa 1.', page_id % 12 + 1, '.2025 lukien') else 'Cc- dd' end as name, 'https://www.example.com/k/' || page_id || '/kokoteksti' as full_url,
+case when page_id % 4 = 0 then concat(2020 + page_id % 5, '-01-01') when page_id % 4 = 1 then '2025-' || lpad(cast(page_id % 12 + 1 as varchar), 2, '0') || '-01' else '2022-01-01' end as first, case when page_id % 4 = 0 then concat(2023 + page_id % 5, '-12-31') else '2026-12-31' end as last, case when page_id % 2 = 0 then 'Listed' else 'Slug one' end as sector from pages where page_id % 5 <> 0""")
+def s10_version_pages(t: Tables) -> DataFrame:
+    pages = t.pages.select("page_id", F.lit("https://www.example.com/v").alias("url"), F.expr(S10_VERSION).alias("html"), F.when(F.col("page_id") % 2 == 0, "slug-two").otherwise("slug-one").alias("slug"), F.lit("2022-2026").alias("period"))
+    found = landing.version_pages(pages, "page_id", "url", "slug", "period", "/kokoteksti", "sähköinen sopimuskirja", {"slug-two": "Listed"})
+    return found.select("page_id", "name", "full_url", F.col("valid_from").cast("string").alias("first"), F.col("valid_until").cast("string").alias("last"), "sector")
+
+
+S11_INDEX = "concat('<h1>Name  of ', page_id, '</h1><p>In force 1.', page_id % 12 + 1, '.2024 – 31.', case when page_id % 2 = 0 then '2' else '1' end, '.2026</p>', case when page_id % 3 <> 0 then '<a href=\"/tes/taysi/one/\">1</a><a href=\"/tes/other/\">o</a><a href=\"/tes/taysi/two/\">2</a><a href=\"/tes/taysi/one/\">1</a>' else '' end)"
+
+
+@query("""select page_id, 'agreement-' || page_id as agreement, 'Name of ' || page_id as name, '2024-' || lpad(cast(page_id % 12 + 1 as varchar), 2, '0') || '-01' as first, case when page_id % 2 <> 0 then '2026-01-31' end as last, unnest([0, 2]) as ord, unnest(['https://www.example.com/tes/taysi/one/', 'https://www.example.com/tes/taysi/two/']) as href from pages where page_id % 3 <> 0""")
+def s11_chapter_pages(t: Tables) -> DataFrame:
+    pages = t.pages.select("page_id", F.concat(F.lit("https://www.example.com/tes/agreement-"), F.col("page_id"), F.lit("/")).alias("url"), F.expr(S11_INDEX).alias("html"))
+    found = landing.chapter_pages(pages, "page_id", "url", "/taysi/")
+    return found.select("page_id", "agreement", "name", F.col("valid_from").cast("string").alias("first"), F.col("valid_until").cast("string").alias("last"), "ord", "href")
