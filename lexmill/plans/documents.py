@@ -165,7 +165,7 @@ HEADER = r"^[ \t]*(\d+)\s*§[ \t]*([^\n]*)$"
 p as (select *, cast(sum(length(line) + 1) over (partition by doc_id order by i) - length(line) - 1 as bigint) as pos, regexp_extract(line, '{HEADER}', 2) as title from l),
 h as (select *, row_number() over (partition by doc_id order by i) - 1 as ord, coalesce(lead(pos) over (partition by doc_id order by i), length(t)) as stop from p where regexp_matches(line, '{HEADER}') and not regexp_matches(title, '(\.{{3,}}|\s)\s*\d+\s*$') and not regexp_matches(trim(title), '^[:)]')),
 b as (select *, {sql.strip("substring(t, pos + length(line) + 1, least(stop - pos - length(line), 30000))")} as body from h)
-select doc_id, ord, regexp_extract(line, '{HEADER}', 1) as number, trim(title) as title, body, pos as start from b where length(body) >= 100""")
+select doc_id, cast(ord as int) as ord, regexp_extract(line, '{HEADER}', 1) as number, trim(title) as title, body, cast(pos as int) as start from b where length(body) >= 100""")
 def c15_clauses(t: Tables) -> DataFrame:
     texts = t.documents.select("doc_id", F.expr(CLAUSES.replace("chr(10)", "'\\n'")).alias("clause_text"))
     return chunks.clauses(texts, "doc_id", "clause_text")

@@ -74,4 +74,4 @@ def links(html: str, key: str, base: str, source: str) -> str:
 def sections(key: str, blocks_sql: str, is_header: str, least: int, number: str = "section") -> str:
     """(key, section, title, body): blocks under their header."""
     return f"""select {key}, {number}, max(case when hd then text end) as title, coalesce(string_agg(case when not hd then text end, chr(10) || chr(10) order by ord), '') as body
-from (select *, sum(hd::int) over (partition by {key} order by ord) as {number} from (select *, ({is_header}) as hd from ({blocks_sql}))) where {number} > 0 group by {key}, {number} having length(coalesce(string_agg(case when not hd then text end, chr(10) || chr(10) order by ord), '')) >= {least}"""
+from (select *, cast(sum(hd::int) over (partition by {key} order by ord) as bigint) as {number} from (select *, ({is_header}) as hd from ({blocks_sql}))) where {number} > 0 group by {key}, {number} having length(coalesce(string_agg(case when not hd then text end, chr(10) || chr(10) order by ord), '')) >= {least}"""
