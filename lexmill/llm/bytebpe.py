@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import Memo, ship
+from lexmill.llm.common import Memo, released, ship
 
 #: Unicode white space, stated so that every engine means the same by it.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -182,7 +182,7 @@ COLUMNS = {
 def _coded(docs: DataFrame, path: str, pattern: str, columns: dict[str, str]) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = loaded(path, pattern)
-        for whole in batches:
+        for whole in released(batches):
             for start in range(0, whole.num_rows, 200):
                 batch = whole.slice(start, 200)
                 ids = [coder.encode(t) if t else b"" for t in batch.column(1).to_pylist()]

@@ -9,9 +9,11 @@ import sys
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,19 +114,22 @@ def decision_tree(value: Column, bounds: list, lower: int = 0, compare: Callable
     return F.when(compare(value, bounds[mid]), decision_tree(value, bounds[:mid], lower, compare)).otherwise(decision_tree(value, bounds[mid + 1 :], lower + mid + 1, compare))
 
 
-def prefix(values: Column, join: Callable[[Column, Column], Column]) -> Column:
-    """An array whose k-th entry joins the first k + 1 entries of values: a sum, or a greatest or least value.
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Arrow batches of at most so many rows for what is written within: for columns of whole texts, whose rows are large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows if int(before) <= 0 else min(rows, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
-    The scan doubles its reach in each round, so the work is n log n however long the array is; a fold that appends to an
-    array would copy it at every step.
-    """
-    rounds = F.sequence(F.lit(0), F.greatest(F.ceil(F.log2(F.size(values))).cast("int"), F.lit(0)))
-
-    def double(acc: Column, r: Column) -> Column:
-        reach = F.call_function("shiftleft", F.lit(1), r)
-        return F.transform(acc, lambda v, i: F.when(i >= reach, join(v, F.get(acc, i - reach))).otherwise(v))
 
-    return F.when(F.size(values) > 1, F.aggregate(rounds, values, double)).otherwise(values)
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches as they come; what Arrow holds in reserve goes back to the system when a task ends, as workers live on."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
 
 
 #: What an entry of a dict costs besides its key and value, about.
@@ -138,7 +143,7 @@ class Memo(dict):
     are worked out each time.
     """
 
-    def __init__(self, work: Callable, bound: int = 400_000, most_bytes: int = 64 << 20, longest: int = 64):
+    def __init__(self, work: Callable, bound: int = 400_000, most_bytes: int = 32 << 20, longest: int = 64):
         super().__init__()
         self.work, self.bound, self.most_bytes, self.longest = work, bound // 2, most_bytes // 2, longest
         self.older, self.bytes = {}, 0

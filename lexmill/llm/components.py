@@ -35,3 +35,25 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         roots = save(move.join(later, "up", "left").select("node", F.coalesce("root", "up").alias("root")), "roots")
     least = roots.groupBy("root").agg(F.least(F.min("node"), F.col("root")).alias("component"))
     return roots.join(save(least, "least"), "root").select("node", "component")
+
+
+class Forest:
+    """Union-find over the links that a task sees: grown() tells which links join two trees."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    def grown(self, a: list[int], b: list[int]) -> list[bool]:
+        new = []
+        for x, y in zip(a, b, strict=True):
+            x, y = self.root(x), self.root(y)
+            new.append(x != y)
+            if x != y:
+                self.up[max(x, y)] = min(x, y)
+        return new

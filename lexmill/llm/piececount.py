@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import Memo, ship
+from lexmill.llm.common import Memo, released, ship
 
 MARK = "▁"
 
@@ -99,7 +99,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = loaded(path)
-        for batch in batches:
+        for batch in released(batches):
             n = [counter.count(batch.column(2)[k].as_py()) for k in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 

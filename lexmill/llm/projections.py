@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import save, ship, small
-from lexmill.llm.components import connected_components
+from lexmill.llm.components import Forest, connected_components
 
 DIRECTIONS = 48
 #: Rows of one line that one task holds at once; longer lines are dealt out as pairs of blocks.
@@ -179,28 +179,6 @@ def near_vectors(table: DataFrame, cosine: float = 0.93, recall: float = 0.999)
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
-class Forest:
-    """Union-find over the links that a task sees: grown() tells which links join two trees."""
-
-    def __init__(self):
-        self.up: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        up = self.up
-        while (y := up.get(x, x)) != x:
-            up[x] = x = up.get(y, y)
-        return x
-
-    def grown(self, a: list[int], b: list[int]) -> list[bool]:
-        new = []
-        for x, y in zip(a, b, strict=True):
-            x, y = self.root(x), self.root(y)
-            new.append(x != y)
-            if x != y:
-                self.up[max(x, y)] = min(x, y)
-        return new
-
-
 def _links_of(classes: DataFrame, dim: int, most: int, cosine: float, recall: float) -> DataFrame:
     """(a, b, n) of classes of one vector length, from verified links: (a, null, n) adds n vectors that a's link to, and
     (a, b, null) are links enough to connect all that are linked.

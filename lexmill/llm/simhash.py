@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import BROADCAST_ROWS, packed, save, ship, small, unpacked
+from lexmill.llm.common import BROADCAST_ROWS, batches_of, packed, released, save, ship, small, unpacked
 from lexmill.llm.components import connected_components
 
 #: Widths of the cyclic parts of a fingerprint.
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     ship(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             found = [fingerprint(batch.column(3)[k].as_py(), width) for k in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(found, pa.int64())], ["doc_id", "t1", "t2", "fp"])
 
@@ -224,7 +224,8 @@ def fingerprint_links(prints: DataFrame, distance: int = 4, block: int = BLOCK)
 
 def simhash_rows(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
     """(doc_id, t1, t2, fp, root) of every row; root, a fingerprint, is the same throughout a component."""
-    rows = save(fingerprints(docs, width), "fingerprints")
+    with batches_of(docs.sparkSession, 2000):
+        rows = save(fingerprints(docs, width), "fingerprints")
     classes = save(rows.select("fp").distinct(), "classes")
     linked = connected_components(fingerprint_links(classes, distance))
     roots = save(linked.select(F.col("node").alias("fp"), F.col("component").alias("root")), "roots")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import Memo, save, ship, small
+from lexmill.llm.common import Memo, batches_of, released, save, ship, small
 
 MAGIC = b"EFIDS001"
 #: Every so many ones of the upper bits, their place is kept.
@@ -221,7 +221,7 @@ def write_token_file(docs: DataFrame, path: str, end_id: int = 2, segment_ids: i
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = loaded(path)
         end = np.array([end_id], dtype=f"<u{coder.width}").tobytes()
-        for whole in batches:
+        for whole in released(batches):
             for start in range(0, whole.num_rows, 500):
                 batch = whole.slice(start, 500)
                 ids = [(coder.encode(t) if t else b"") + end for t in batch.column(2).to_pylist()]
@@ -253,13 +253,15 @@ def write_token_file(docs: DataFrame, path: str, end_id: int = 2, segment_ids: i
     ship(docs.sparkSession)
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
-    coded = save(rows.mapInArrow(encode, "doc_id long, tie long, width int, ids binary"), "ids")
+    with batches_of(docs.sparkSession, 2000):
+        coded = save(rows.mapInArrow(encode, "doc_id long, tie long, width int, ids binary"), "ids")
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
     dealt = coded.repartitionByRange(*order).sortWithinPartitions(*order, "ids").select("doc_id", "width", "ids", F.spark_partition_id().alias("part"))
     file = dealt.mapInArrow(pack, "part int, seq int, n_docs int, n_tokens long, payload binary")
-    if out is None:
-        return save(file, "token_ids")
-    file.write.parquet(out)
+    with batches_of(docs.sparkSession, 2000):
+        if out is None:
+            return save(file, "token_ids")
+        file.write.parquet(out)
     return open_documents(docs.sparkSession, out)
 
 
