@@ -10,7 +10,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from lexmill.llm import bytebpe, piececount, tokenfile
-from tests.llm.conftest import AWKWARD
+from tests.llm.conftest import AWKWARD, documents
 
 ODD = "aabbcdthe  \n\t'sS<s>éÉ日İ \x1c\x85\xa0 12३½.,<|>ßﬁ①▁̀🙂\x00"
 
@@ -88,3 +88,48 @@ def test_token_file_round_trip(spark, awkward, nothing):
     assert [one.doc_id(i) for i in range(len(one))] == one.doc_ids(0, len(one))
     assert sum(len(one.document(i)) for i in range(len(one))) == one.u
     assert tokenfile.read_token_file(tokenfile.write_token_file(nothing, path)).collect() == []
+
+
+def test_queries_take_columns_of_any_name(spark, tmp_path):
+    """Columns that clash with the operators' own, and empty tables, through the queries themselves."""
+    from lexmill.llm import catalog
+
+    names = ("ids", "tie", "width", "part", "fp", "t1", "root", "n_tokens", "n_bytes", "held_out", "lang_pred", "score", "_u", "shard", "slot", "size", "copies", "rule", "_k1", "v", "h1", "rep")
+    for kind, rows in (("some", AWKWARD), ("none", [])):
+        folder = f"{tmp_path}/{kind}"
+        documents(spark, rows, names).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0)] if rows else [], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        vectors = [(k, [1.0, 0.01 * k], 1, "x", "x", "x") for k in range(9)] if rows else []
+        spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int, v string, h1 string, rep string").write.parquet(f"{folder}/embeddings.parquet")
+        for name, query in catalog.queries().items():
+            found = query(spark, folder).collect()
+            if name != "pipeline":
+                assert len(found) == (len(vectors) if name.startswith("op7") else len(rows)), name
+                assert found or kind == "none"
+
+
+def test_a_token_file_at_a_path(spark, awkward, tmp_path):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenfile.write_token_file(awkward, path, out=f"{tmp_path}/file")
+    again = tokenfile.read_token_file(tokenfile.open_documents(spark, f"{tmp_path}/file"))
+    scratch = tokenfile.read_token_file(tokenfile.write_token_file(awkward, path))
+    assert sorted(map(str, again.collect())) == sorted(map(str, scratch.collect()))
+
+
+def test_select_reads_ranges():
+    rng = np.random.default_rng(5)
+    values = np.sort(rng.integers(0, 50_000, 1000).astype(np.uint64))
+    sequence = tokenfile.EliasFano.of(values)
+    for first, n in ((0, 0), (0, 1), (63, 2), (64, 64), (500, 137), (999, 1), (0, 1000)):
+        assert sequence.select_range(first, n).tolist() == values[first : first + n].tolist()
+    with pytest.raises(IndexError):
+        sequence.select_range(990, 11)
+
+
+def test_other_patterns_go_piece_by_piece():
+    ranks = bytebpe.ByteBpe.from_file(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).ranks
+    for pattern in (r"\S+|\s+", r"\p{L}{1,3}|[^\p{L}]"):
+        coder = bytebpe.ByteBpe(ranks, pattern)
+        library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        for text in odd_texts(200):
+            assert np.frombuffer(coder.encode(text), "<u4").tolist() == library.encode_ordinary(text)

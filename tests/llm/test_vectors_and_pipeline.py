@@ -55,6 +55,22 @@ def test_near_vectors_against_all_pairs(spark, monkeypatch, block):
     assert all(r.kept == (r.vec_id == r.component_id) for r in found.values())
 
 
+def test_a_recall_that_is_missed_is_an_error():
+    with pytest.raises(ValueError, match="recall"):
+        projections.calibrate(64, 0.05, 10**9, 0.9999999)
+    tables, levels, least, _ = projections.calibrate(64, 0.93, 10**6)
+    assert least >= 2 and tables <= 4096 and levels >= 2
+    assert projections.calibrate(1, 0.93, 100)[2] >= 2
+
+
+def test_vectors_on_a_line_and_slices_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(projections, "PAIRS", 50)
+    rows = [(k, [float(k % 5 - 2)], k % 2) for k in range(60)]
+    found = {r.vec_id: r for r in projections.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    links = brute_links(rows, 0.93)
+    assert {k: r.n_links for k, r in found.items()} == {k: sum(k in link for link in links) for k, *_ in rows}
+
+
 def test_no_vectors(spark):
     table = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert projections.near_vectors(table).collect() == []
