@@ -189,6 +189,11 @@ def clear_in_scope(rows: DataFrame, columns: list[str], scope: DataFrame | None,
     return out.withColumns({c: F.when(~F.col("_cleared"), F.col(c)) for c in columns}).select(*rows.columns, "_cleared")
 
 
+def stamped(rows: DataFrame, changed: Column, column: str, at: str) -> DataFrame:
+    """rows with the run's time in a column where they changed; the time is given, so that a run can be repeated."""
+    return rows.withColumn(column, F.when(changed, F.lit(at).cast("timestamp")).otherwise(F.col(column)))
+
+
 def propagate(rows: DataFrame, value: str, done: DataFrame, target: str) -> DataFrame:
     """rows with target filled from a table worked out once for each distinct value."""
     return rows.drop(target).join(done.select(value, target), value, "left").select(*rows.columns)
