@@ -11,6 +11,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
+import struct
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,8 +30,18 @@ from lexmill.llm.common import Memo, released, ship
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 NEVER = 1 << 60
 
-#: Fixed value: the pattern whose pieces never cross from one run of white space or of other letters into the next, but for one space before.
+#: Fixed value: the pattern that can be spelled out for Latin-1.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+LATIN = re.compile("[\x00-\xff]*").fullmatch
+
+
+def spelled_out(pattern: str) -> str:
+    """WORDS with its classes as the characters that they hold among the first 256."""
+    of = lambda kind: "".join(re.escape(chr(c)) for c in range(256) if unicodedata.category(chr(c))[0] == kind)
+    space = re.escape("\t\n\x0b\x0c\r \x85\xa0")
+    for name, inner in ((r"[^\s\p{L}\p{N}]", f"[^{space}{of('L')}{of('N')}]"), (r"\p{L}", f"[{of('L')}]"), (r"\p{N}", f"[{of('N')}]"), (r"\S", f"[^{space}]"), (r"\s", f"[{space}]")):
+        pattern = pattern.replace(name, inner)
+    return pattern
 
 
 class ByteBpe:
@@ -43,12 +56,11 @@ class ByteBpe:
         self.widest = max(map(len, ranks))
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.edges: tuple[dict[int, list[int]], dict[int, list[int]]] = ({}, {})
-        self.fits = Memo(self._fits, 2_000_000)
+        self.fits = Memo(self._fits, 2_000_000, 32 << 20)
         self.pieces = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]"))
-        # under WORDS texts fall into such runs, which repeat and are remembered; under another pattern into its pieces
-        self.by_words = pattern == WORDS
-        self.runs = regex.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+") if self.by_words else self.pieces
-        self.packed = Memo(self._run, 1_000_000)
+        # texts of Latin-1 letters alone can be cut by the standard library, which is faster, with the classes spelled out
+        self.latin = re.compile(spelled_out(pattern)).findall if pattern == WORDS else None
+        self.packed = Memo(self._piece, 1_000_000, 32 << 20)
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> ByteBpe:
@@ -125,16 +137,14 @@ class ByteBpe:
                 at -= size + 1
         return ids
 
-    def _run(self, run: str) -> bytes:
-        """Packed ids of a run of the text that no piece crosses, or of one piece."""
-        word = run[1:] if run[0] == " " else run
-        ids: list[int] = []
-        for piece in [run] if not self.by_words or (word.isascii() and word.isalpha()) else self.pieces.findall(run):
-            ids += self.piece_ids(piece.encode("utf-8", "surrogatepass"))
-        return np.array(ids, dtype="<u4").tobytes()
+    def _piece(self, piece: str) -> bytes:
+        """Packed ids of one match of the pattern."""
+        ids = self.piece_ids(piece.encode("utf-8", "surrogatepass"))
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.packed.__getitem__, self.runs.findall(text)))
+        find = self.latin if self.latin and LATIN(text) else self.pieces.findall
+        return b"".join(map(self.packed.__getitem__, find(text)))
 
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(packed, dtype="<u4").tolist()))
