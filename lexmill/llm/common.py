@@ -32,7 +32,7 @@ def scratch_root(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/lexmill/{spark.sparkContext.applicationId}"
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
+def save(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df as Parquet below the shared folder and read it back: a cut of the lineage that survives lost executors.
 
     The tables go when the driver's process ends, or with drop_scratch().
@@ -40,7 +40,7 @@ def save(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     _drop_at_exit(spark)
     path = f"{scratch_root(spark)}/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -132,8 +132,8 @@ def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pa.default_memory_pool().release_unused()
 
 
-#: What an entry of a dict costs besides its key and value, about.
-ENTRY_BYTES = 110
+#: What an entry of a dict costs besides the letters of its key and the bytes of its value, about.
+ENTRY_BYTES = 140
 
 
 class Memo(dict):
@@ -143,7 +143,7 @@ class Memo(dict):
     are worked out each time.
     """
 
-    def __init__(self, work: Callable, bound: int = 400_000, most_bytes: int = 32 << 20, longest: int = 64):
+    def __init__(self, work: Callable, bound: int = 400_000, most_bytes: int = 48 << 20, longest: int = 64):
         super().__init__()
         self.work, self.bound, self.most_bytes, self.longest = work, bound // 2, most_bytes // 2, longest
         self.older, self.bytes = {}, 0
@@ -152,11 +152,11 @@ class Memo(dict):
         value = self.older.get(key)
         if value is None:
             value = self.work(key)
-            if isinstance(key, (str, bytes)) and len(key) > self.longest:
+            if len(key) > self.longest:
                 return value
         if len(self) >= self.bound or self.bytes >= self.most_bytes:
             self.older, self.bytes = dict(self), 0
             self.clear()
         self[key] = value
-        self.bytes += sys.getsizeof(key) + sys.getsizeof(value) + ENTRY_BYTES
+        self.bytes += (len(key) + len(value) if isinstance(value, bytes) else 40) + ENTRY_BYTES
         return value

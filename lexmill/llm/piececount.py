@@ -32,7 +32,7 @@ class PieceCounter:
         self.ranks = ranks
         self.letters = {p for p in ranks if len(p) == 1}
         self.words = re.compile(rf"{MARK}+[^{MARK}]*|[^{MARK}]+")
-        self.counts = Memo(self.word_tokens, 1_000_000)
+        self.counts = Memo(self.word_tokens, 1_000_000, 128 << 20)
 
     @classmethod
     def from_model(cls, path: str) -> PieceCounter:

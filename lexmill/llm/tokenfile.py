@@ -164,16 +164,21 @@ class WordBpe:
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.width = 2 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.words = Memo(self._word, 600_000)
-        self.pieces = Memo(self._piece, 400_000)
+        self.letters = False
+        self.words = Memo(self._word, 1_000_000, 96 << 20)
+        self.pieces = Memo(self._piece, 1_000_000, 128 << 20)
         of = lambda kind: "".join(re.escape(c) for c in PLAIN if unicodedata.category(c)[0] == kind)
         self.split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{of('L')}]+|[{of('N')}]|[^{of('L')}{of('N')}]+")
+        self.cut = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{of('L')}]+|[{of('N')}]|[^{of('L')}{of('N')} \n]+").findall
         self.special = {t.content for t in self.library.get_added_tokens_decoder().values()}
+        self.lead = re.compile("|".join(sorted({re.escape(s[0]) for s in self.special if s}))) if self.special else re.compile("(?!)")
         # how the library's byte level writes bytes as characters: printable ones as themselves, the rest from 256 on
         kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = iter(range(0x100, 0x200))
         self.letter = {b: chr(b) if b in kept else chr(next(rest)) for b in range(256)}
         self.plain = self._is_plain()
+        # ASCII letters alone are one piece and hold no special token, unless one is of such letters itself
+        self.letters = self.plain and not any(s.isalpha() for s in self.special)
 
     def _is_plain(self) -> bool:
         """Whether the short cut over pieces agrees with the library on a probe of all plain characters."""
@@ -181,25 +186,39 @@ class WordBpe:
         return all(self._short(w) == self._whole(w) for w in probe)
 
     def _piece(self, piece: str) -> bytes:
-        written = "".join(map(self.letter.__getitem__, piece.encode("utf-8")))
-        return np.array([t.id for t in self.model.tokenize(written)], dtype=f"<u{self.width}").tobytes()
+        written = piece if piece.isascii() else "".join(map(self.letter.__getitem__, piece.encode("utf-8")))
+        return self._packed([t.id for t in self.model.tokenize(written)])
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
 
     def _short(self, word: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.split.findall(word.lower())))
+        low = word.lower()
+        return self.pieces[low] if low.isalpha() else b"".join(map(self.pieces.__getitem__, self.split.findall(low)))
 
     def _whole(self, word: str) -> bytes:
-        return np.array(self.library.encode(word, add_special_tokens=False).ids, dtype=f"<u{self.width}").tobytes()
+        return self._packed(self.library.encode(word, add_special_tokens=False).ids)
 
     def _word(self, word: str) -> bytes:
-        plain = self.plain and PLAIN_SET.issuperset(word) and not any(s in word for s in self.special)
+        if self.letters and word.isascii() and word.isalpha():
+            return self.pieces[word.lower()]
+        plain = self.plain and ALL_PLAIN(word) and not (self.lead.search(word) and any(s in word for s in self.special))
         return self._short(word) if plain else self._whole(word)
 
     def encode(self, text: str) -> bytes:
-        """Packed ids of a whole text; words between spaces and line ends are encoded apart, as the library does."""
-        return b"".join(map(self.words.__getitem__, re.split("[ \n]+", text)))
+        """Packed ids of a whole text; words between spaces and line ends are encoded apart, as the library does.
+
+        A text of plain characters alone is cut into pieces at once, any other word by word.
+        """
+        if self.plain and PLAIN_TEXT(text) and not (self.lead.search(text) and any(s in text for s in self.special)):
+            return b"".join(map(self.pieces.__getitem__, self.cut(text.lower())))
+        return b"".join(map(self.words.__getitem__, WORDS.split(text)))
 
 
-PLAIN_SET = frozenset(PLAIN)
+ALL_PLAIN = re.compile(f"[{re.escape(PLAIN)}]*").fullmatch
+PLAIN_TEXT = re.compile(f"[{re.escape(PLAIN)} \n]*").fullmatch
+#: Words are what spaces and line ends leave.
+WORDS = re.compile("[ \n]+")
 
 
 @lru_cache(maxsize=2)
@@ -239,11 +258,10 @@ def write_token_file(docs: DataFrame, path: str, end_id: int = 2, segment_ids: i
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], ["part", "seq", "n_docs", "n_tokens", "payload"])
 
         for batch in batches:
-            for k in range(batch.num_rows):
-                part, width = batch.column(3)[k].as_py(), batch.column(1)[k].as_py()
-                keys.append(batch.column(0)[k].as_py())
-                ids.append(batch.column(2)[k].as_py())
-                size += len(ids[-1])
+            for doc_id, width, packed, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):  # noqa: B007 (segment() reads them)
+                keys.append(doc_id)
+                ids.append(packed)
+                size += len(packed)
                 if size >= segment_ids * width:
                     yield segment()
                     keys, ids, size, seq = [], [], 0, seq + 1
@@ -254,7 +272,7 @@ def write_token_file(docs: DataFrame, path: str, end_id: int = 2, segment_ids: i
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
     with batches_of(docs.sparkSession, 2000):
-        coded = save(rows.mapInArrow(encode, "doc_id long, tie long, width int, ids binary"), "ids")
+        coded = save(rows.mapInArrow(encode, "doc_id long, tie long, width int, ids binary"), "ids", "zstd")
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
     dealt = coded.repartitionByRange(*order).sortWithinPartitions(*order, "ids").select("doc_id", "width", "ids", F.spark_partition_id().alias("part"))
     file = dealt.mapInArrow(pack, "part int, seq int, n_docs int, n_tokens long, payload binary")
