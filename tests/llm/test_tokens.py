@@ -29,6 +29,20 @@ def test_byte_bpe_gives_the_librarys_ids():
         assert coder.decode(packed) == text.encode()
 
 
+def test_latin_texts_are_cut_like_any_other():
+    rng = random.Random(9)
+    coder = bytebpe.ByteBpe.from_file(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=coder.ranks, special_tokens={})
+    assert coder.latin is not None
+    words = tokenfile.WordBpe(public_tokenizers.path("word_bpe_49k.json"))
+    other = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for k in range(3000):
+        letters = [chr(rng.randrange(256)) if rng.random() < 0.5 else rng.choice(" \n'sdabeé1½ªº") for _ in range(rng.randint(0, 30))]
+        text = "".join(letters)
+        assert np.frombuffer(coder.encode(text), "<u4").tolist() == library.encode_ordinary(text)
+        assert np.frombuffer(words.encode(text), f"<u{words.width}").tolist() == other.encode(text, add_special_tokens=False).ids
+
+
 def test_byte_bpe_over_rows(awkward, nothing):
     args = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     rows = bytebpe.encode_digests(awkward, *args).collect()
