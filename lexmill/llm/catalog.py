@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 import public_tokenizers
 
-from lexmill.llm import bytebpe, language, mixing, piececount, projections, quality, secrets, shards, simhash, tokenfile
+from lexmill.llm import bytebpe, decontaminate, language, mixing, piececount, projections, quality, secrets, shards, simhash, tokenfile
 from lexmill.session import table
 
 
@@ -64,6 +64,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -78,6 +82,22 @@ select e.vec_id, (select count(*) from l where l.a = e.vec_id) as n_links, (sele
 (select min(c) from r where r.node = e.vec_id) = e.vec_id as kept from embeddings e
 """
 
+#: Every window of every text against the windows of the items; the words of the windows that occur are hit.
+OP11_SQL = r"""
+with low as (select 'd' as kind, doc_id as id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents
+union all select 'b', item_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') from benchmark),
+w as (select kind, id, coalesce(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as ws from low),
+starts as (select id, ws, unnest(case when len(ws) >= 10 then range(1, len(ws) - 8) when len(ws) > 0 then [1] else [] end) as i from w where kind = 'b'),
+grams as (select distinct id as item_id, ws[i : i + 9] as g, len(ws[i : i + 9]) as k from starts),
+sizes as (select distinct k from grams),
+probes as (select w.id, i, k, ws[i : i + k - 1] as g from w, sizes, lateral (select unnest(range(1, greatest(len(ws) - k, 0) + 2)) as i) where kind = 'd' and len(ws) >= k),
+met as (select p.id, p.i, p.k, grams.item_id from probes p join grams on grams.g = p.g and grams.k = p.k),
+hit as (select id, count(distinct place) as n_hit from (select id, unnest(range(i, i + k)) as place from met) group by id),
+items as (select id, count(*) as n_items, string_agg(item, ',' order by item) as names from (select distinct id, cast(item_id as varchar) as item from met) group by id)
+select w.id as doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(names, '')) as items_sha256, n_hit is not null as contaminated
+from w left join hit on hit.id = w.id left join items on items.id = w.id where kind = 'd'
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -91,10 +111,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_decision_list": op9_decision_list,
         "op10_byte_bpe": op10_byte_bpe,
+        "op11_decontaminate": op11_decontaminate,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op7_collision_counts": OP7_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    found = {"op7_collision_counts": OP7_SQL, "op11_decontaminate": OP11_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
     return {k: v for k, v in found.items() if v}
