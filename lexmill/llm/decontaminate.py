@@ -98,7 +98,8 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, n: int = 10, limit
     by_text = texts.where(F.size("grams") > 0).select("_t1", "_t2", F.explode("grams").alias("gram")).join(items, "gram")
     named = by_text.groupBy("_t1", "_t2").agg(F.array_sort(F.collect_set("item")).alias("items"))
     none = F.array().cast("array<string>")
-    return texts.join(named, ["_t1", "_t2"], "left").select("_t1", "_t2", "n_words", places.alias("positions"), F.coalesce("items", none).alias("items"))
+    # written, so that a join to many copies of a text has a plain table on either side and can be split
+    return save(texts.join(named, ["_t1", "_t2"], "left").select("_t1", "_t2", "n_words", places.alias("positions"), F.coalesce("items", none).alias("items")), "found")
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
