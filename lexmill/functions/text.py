@@ -56,6 +56,26 @@ def opened(values: Column, start: Column, step: Callable[[Column, Column], tuple
     return F.when(F.size(values) > 0, places).otherwise(F.array().cast("array<int>"))
 
 
+def running(values: Column, start: Column, state: str, out: str, step: Callable[[Column, Column], Column]) -> Column:
+    """What a fold from the left makes of each of values, as an array.
+
+    step(state, value) gives struct<state,out>; `state` and `out` name their types. Results gather block by block, as in
+    opened().
+    """
+    kind, none = f"struct<state:{state},out:array<{out}>>", F.array().cast(f"array<{out}>")
+
+    def one(acc: Column, x: Column) -> Column:
+        return let(step(acc["state"], x), lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], F.array(r["out"])).alias("out")).cast(kind))
+
+    def block(acc: Column, k: Column) -> Column:
+        own = F.aggregate(F.slice(values, k * FOLD + 1, F.lit(FOLD)), F.struct(acc["state"].alias("state"), none.alias("out")).cast(kind), one)
+        return let(own, lambda o: F.struct(o["state"].alias("state"), F.concat(acc["out"], o["out"]).alias("out")).cast(kind))
+
+    blocks = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / FOLD).cast("int"))
+    begin = F.struct(start.cast(state).alias("state"), none.alias("out")).cast(kind)
+    return F.when(F.size(values) > 0, F.aggregate(blocks, begin, block, lambda acc: acc["out"])).otherwise(none)
+
+
 def grouped(values: Column, places: Column) -> Column:
     """values cut before each of the places, as an array of arrays."""
     return F.transform(places, lambda at, k: F.slice(values, at + 1, F.coalesce(F.get(places, k + 1), F.size(values)) - at))

@@ -313,6 +313,41 @@ def s05_html_blocks(t: Tables) -> DataFrame:
     return landing.html_blocks(t.pages, "page_id")
 
 
+#: Nested lists, text before and after blocks, cells with paragraphs, unclosed paragraphs and a sidebar, with the number of the page.
+NESTED_HTML = """concat('lead ', page_id, '<div class="x">bare<ul><li>item ', page_id, '<ol><li>inner</li><li>second</ol> tail</li><li>last</ul>between<!-- no --><table><tr><td>cell<p>para ', page_id, '</p>rest<td>next<tr><th>head</table>', case when page_id % 2 = 0 then '<p>open<p>again' else '</p>' end, '</div><script>"<p>no</p>"</script>after<aside>side</aside>')"""
+NESTED_ROWS = "[['', 'lead N'], ['div', 'bare'], ['li', 'item N'], ['li', 'inner'], ['li', 'second'], ['li', 'tail'], ['li', 'last'], ['div', 'between'], ['td', 'cell'], ['p', 'para N'], ['td', 'rest'], ['td', 'next'], ['th', 'head'], ['p', 'open'], ['p', 'again'], ['', 'after'], ['aside', 'side']]"
+
+
+@query(f"select page_id, cast(row_number() over (partition by page_id order by k) - 1 as int) as ord, r[1] as tag, replace(r[2], 'N', cast(page_id as varchar)) as text from (select page_id, unnest({NESTED_ROWS}) as r, unnest(range(0, 17)) as k from pages) where page_id % 2 = 0 or k not in (13, 14)")
+def s05_nested_blocks(t: Tables) -> DataFrame:
+    return landing.html_blocks(t.pages.select("page_id", F.expr(NESTED_HTML).alias("html")), "page_id")
+
+
+#: Guidance pages: named sections, a repeated one of which the last counts, headings with what they are about before a dash; every
+#: fourth page has none of them, and its text is taken but for a skipped heading; every seventh has no main element.
+GUIDANCE_HTML = """concat('<nav><h2>General</h2>menu</nav><div id="', case when page_id % 7 = 0 then 'other' else 'main-content' end, '"><div class="in">', case when page_id % 4 = 0 then concat('<h2>About</h2><p>Long enough ', page_id, '</p><p>short</p><ul><li>one list of <ul><li>several</li></ul> items</li></ul><h2>X - Sanasto</h2><p>left out entirely here</p>')
+else concat('<div><h2>Pay – General</h2></div><p>old</p><h2>General</h2>bare ', page_id, '<ul><li>a<ul><li>b</li></ul>c</li></ul> FOOT and more<h2>For the employee</h2><p>yours</p>') end, '</div></div><h2>General</h2><p>outside</p>')"""
+
+
+@query("""with g as (select page_id, case when page_id % 7 = 0 then '' when page_id % 4 = 0 then 'Long enough ' || page_id || ' one list of several items' else 'bare ' || page_id || ' a b c' end as general, case when page_id % 7 = 0 or page_id % 4 = 0 then '' else 'yours' end as employee from pages)
+select page_id, general, employee, sha256(general || employee) as content_hash from g""")
+def s05_guidance(t: Tables) -> DataFrame:
+    pages = t.pages.select("page_id", F.expr(GUIDANCE_HTML).alias("html"))
+    return landing.guidance(pages, "page_id", {"general": "general", "employee": ["employee", "työntekijä"]}, "FOOT", "main-content", ("sanasto",), 8)
+
+
+#: References: an item before any act, an act linked inside an item, nested items, chapters from items before, repeats, an act of another site.
+REFERENCES_HTML = """concat('<ul><li>9 § too early</li></ul><p><a href="https://law.example/fi/laki/ajantasa/2019/2019', lpad(cast(page_id % 1000 as string), 4, '0'), '">Act</a> and <a href="https://other.example/laki/ajantasa/1999/19990001">no</a></p><ul><li>2 luku ', page_id % 9 + 1, ' § a</li><li>', page_id % 9 + 1, ' § again</li><li>20 § ja 21 § <ul><li>3 luku 30 §</li><li>30 §</li></ul></li></ul>',
+'<ul><li>See <b>40</b> § of <a href="https://law.example/x/2001/20010055">next</a></li><li>41 §</li><li>41 §</li><li>luku ja 42 §</li></ul>')"""
+
+
+@query("""with r as (select page_id, unnest(['A', 'A', 'A', 'A', 'A', 'B', 'B']) as w, unnest([2, 3, 3, 3, null, null, null]) as chapter, unnest([page_id % 9 + 1, 20, 21, 30, 40, 41, 42]) as section from pages)
+select page_id, case when w = 'A' then '2019/' || (page_id % 1000) else '2001/55' end as act, case when w = 'A' then (page_id % 1000) || '/2019' else '55/2001' end as code, chapter, cast(section as int) as section from r""")
+def s06_references(t: Tables) -> DataFrame:
+    found = landing.statute_references(t.pages.select("page_id", F.expr(REFERENCES_HTML).alias("html")), "page_id", site="law.example")
+    return found.select("page_id", "act", "code", "chapter", "section")
+
+
 @query(sql.links("html", "page_id", "url", "pages"))
 def s06_links(t: Tables) -> DataFrame:
     return landing.html_links(t.pages, "page_id", "url")

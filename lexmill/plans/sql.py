@@ -52,14 +52,22 @@ def plain(html: str) -> str:
     return squeeze(bare)
 
 
-def blocks(html: str, key: str, source: str, tags: tuple[str, ...] = ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "summary", "td", "th")) -> str:
-    """(key, ord, tag, text) of blocks in document order."""
-    each = "|".join(rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in tags)
-    clean = rf"regexp_replace({html}, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g')"
-    inner = plain(r"regexp_replace(b, '(?is)^<[a-z0-9]+\b[^>]*>|</[a-z0-9]+\s*>$', '', 'g')")
-    found = f"regexp_extract_all({clean}, '(?is){each}')"
-    rows = f"select {key}, unnest({found}) as b, cast(generate_subscripts({found}, 1) - 1 as int) as ord from {source}"
-    return f"select {key}, ord, lower(regexp_extract(b, '(?i)^<([a-z0-9]+)', 1)) as tag, {inner} as text from ({rows}) where {inner} <> ''"
+BLOCK_TAGS = "address|article|aside|blockquote|center|dd|details|dialog|div|dl|dt|fieldset|figcaption|figure|footer|form|h1|h2|h3|h4|h5|h6|header|hr|li|main|menu|nav|ol|p|pre|section|summary|table|caption|thead|tbody|tfoot|tr|td|th|ul"
+
+
+def blocks(html: str, key: str, source: str) -> str:
+    """(key, ord, tag, text) of the runs of text between block tags, by levels: a tag raises or lowers the level, any tag
+    right after an open paragraph ends it, and a run stands in the last block opened at its level."""
+    clean = rf"regexp_replace({html}, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<title\b.*?</title\s*>|<!--.*?-->', '', 'g')"
+    tag = rf"(?is)</?(?:{BLOCK_TAGS})\b[^>]*>"
+    tags = f"select {key}, regexp_split_to_array(c, '{tag}') as pieces, regexp_extract_all(c, '{tag}') as tags from (select {key}, {clean} as c from {source})"
+    rows = f"select {key}, unnest(pieces) as piece, unnest(['-'] || tags) as tag, unnest(range(0, len(pieces))) as k from ({tags})"
+    named = rf"select {key}, k, piece, lower(regexp_extract(tag, '(?i)^</?([a-z0-9]+)', 1)) as name, starts_with(tag, '</') as close from ({rows})"
+    open_p = f"coalesce(lag(name = 'p' and not close) over (partition by {key} order by k), false)"
+    moved = f"select *, case when name in ('', 'hr') then 0 when not close then 1 when name = 'p' and not {open_p} then 0 else -1 end - case when {open_p} and not (close and name = 'p') then 1 else 0 end as move from ({named})"
+    levels = f"select *, sum(move) over (partition by {key} order by k) as level from ({moved})"
+    stood = f"select {key}, k, {plain('piece')} as text, coalesce(case when level > 0 then last_value(case when not close and name not in ('', 'hr') then name end ignore nulls) over (partition by {key}, level order by k rows unbounded preceding) end, '') as tag from ({levels})"
+    return f"select {key}, cast(row_number() over (partition by {key} order by k) - 1 as int) as ord, tag, text from ({stood}) where text <> ''"
 
 
 def links(html: str, key: str, base: str, source: str) -> str:

@@ -6,13 +6,14 @@ instead of failing the sweep.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import absolute_url, content_hash, html_unescape, let, markdown_table, matches, plain_dashes, squeeze, strip
+from lexmill.functions.text import absolute_url, content_hash, html_unescape, let, markdown_table, matches, plain_dashes, statute_code, strip
 from lexmill.functions.values import dmy, year_range
 from lexmill.operators.classify import eligible_url
 from lexmill.operators.ordered import carry_forward, first_wins, sections
+from lexmill.sources.markup import attribute, html_blocks, inner_html, page_elements, plain, siblings
 
 
 def landed_files(spark: SparkSession, path: str) -> DataFrame:
@@ -28,20 +29,6 @@ def pdf_error(content: Column, path: Column) -> Column:
     return F.when(F.lower(path).endswith(".pdf") & ~is_pdf, F.when(page, "html instead of pdf").otherwise("not a pdf"))
 
 
-def plain(html: Column) -> Column:
-    """The text of markup: tags as blanks, entities resolved, white space squeezed."""
-    return squeeze(html_unescape(F.regexp_replace(html, r"(?s)<!--.*?-->|<[^>]*>", " ")))
-
-
-def html_blocks(pages: DataFrame, key: str, html: str = "html", tags: str = "h[1-6]|p|li|summary|td|th") -> DataFrame:
-    """(key, ord, tag, text) of the blocks of pages in document order; scripts, styles and empty blocks left out."""
-    clean = F.regexp_replace(F.col(html), r"(?is)<(script|style)\b.*?</\1\s*>", "")
-    block = rf"(?is)<({tags})\b[^>]*>(.*?)</\1\s*>"
-    found = F.arrays_zip(F.regexp_extract_all(clean, F.lit(block), F.lit(1)).alias("tag"), F.regexp_extract_all(clean, F.lit(block), F.lit(2)).alias("inner"))
-    rows = pages.select(key, F.posexplode(found).alias("ord", "b"))
-    return rows.select(key, "ord", F.lower("b.tag").alias("tag"), plain(F.col("b.inner")).alias("text")).where("text <> ''")
-
-
 def html_links(pages: DataFrame, key: str, base: str, html: str = "html") -> DataFrame:
     """(key, ord, href, text) with absolute links."""
     link = r"""(?is)<a\b[^>]*?href\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a\s*>"""
@@ -65,35 +52,59 @@ def faq_pairs(pages: DataFrame, key: str, html: str = "html", least: int = 50) -
     return rows.select(key, "ord", plain(F.col("d.q")).alias("question"), plain(F.col("d.a")).alias("answer")).where(F.length("answer") >= least)
 
 
-def guidance(pages: DataFrame, key: str, headings: dict[str, str], footer: str) -> DataFrame:
-    """One row a page: the text under each of the named headings (of equal ones the last), else all of it; cut at the footer; and its hash."""
-    blocks = html_blocks(pages, key)
-    is_head = F.col("tag").rlike("^h[1-6]$")
-    parts = sections(blocks, [key], ["ord"], is_head, "text", " ")
-    chosen = [F.max_by(F.trim(F.substring_index("body", footer, 1)), F.when(F.lower("title") == h.lower(), F.col("section"))).alias(n) for n, h in headings.items()]
-    named = parts.groupBy(key).agg(*chosen)
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~is_head, F.struct("ord", "text")))), lambda x: x["text"]), " ")
-    whole = blocks.groupBy(key).agg(F.trim(F.substring_index(body, footer, 1)).alias("_all"))
-    joined = whole.join(named, key, "left")
-    first = next(iter(headings))
-    nothing = F.coalesce(*(F.nullif(F.col(n), F.lit("")) for n in headings)).isNull()
-    filled = joined.withColumn(first, F.when(nothing, F.col("_all")).otherwise(F.col(first))).drop("_all")
-    return filled.withColumn("content_hash", content_hash([F.col(n) for n in headings]))
-
-
-def statute_references(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """(key, ord, act, chapter, section) of references in links and list items, the act carried on from the last link to one.
-
-    A section without a chapter takes the last chapter named; repeats go, and so do references without a chapter to
-    sections that were already named.
+#: Elements whose whole text is taken where a page has none of the named headings.
+FULL_TEXT = ("h2", "h3", "p", "ul", "ol")
+
+
+def guidance(pages: DataFrame, key: str, headings: dict[str, str | list[str]], footer: str, main: str | None = None, skip: tuple[str, ...] = (), least: int = 0) -> DataFrame:
+    """One row a page: the text under each of the named headings, else all of it; cut at the footer; and its hash.
+
+    A heading is an h2 that, without what leads up to a dash in it, equals one of the names, or that holds one; of several
+    the last counts. Where none has text, the first column gets all h3, p, ul and ol of at least `least` letters, the
+    outermost ones with all that stands in them, but for those under an h2 named in `skip`. main is the id of the element that
+    is read; pages without it, and empty ones, have empty texts.
+    """
+    wanted = {n: [h.lower() for h in ([hs] if isinstance(hs, str) else hs)] for n, hs in headings.items()}
+    bare = lambda c: F.trim(F.regexp_replace(F.lower(c), r"^.+\s*[-–]\s*", ""))
+    source = pages.select(key, (F.col("html") if main is None else inner_html(F.col("html"), "id", main)).alias("html"))
+    cut = lambda c: F.trim(F.substring_index(F.coalesce(c, F.lit("")), footer, 1))
+    parts = sections(html_blocks(source, key), [key], ["ord"], F.col("tag") == "h2", "text", " ")
+    holds = lambda hs: F.exists(F.array(*map(F.lit, hs)), lambda h: (bare(F.col("title")) == h) | F.lower("title").contains(h))
+    named = parts.groupBy(key).agg(*(F.max_by("body", F.when(holds(hs), F.col("section"))).alias(n) for n, hs in wanted.items()))
+    under = carry_forward(page_elements(source, key, FULL_TEXT).where("depth = 0"), [key], ["at"], F.when(F.col("tag") == "h2", bare(F.col("text"))), "_under")
+    kept = under.where((F.col("tag") != "h2") & (F.length("text") >= max(least, 1)) & ~F.coalesce(F.col("_under").isin(list(skip)), F.lit(False)))
+    whole = kept.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), " ").alias("_all"))
+    joined = pages.select(key).join(named, key, "left").join(whole, key, "left")
+    filled = joined.select(key, *(cut(F.col(n)).alias(n) for n in wanted), cut(F.col("_all")).alias("_all"))
+    first = next(iter(wanted))
+    nothing = F.concat(*(F.col(n) for n in wanted)) == ""
+    out = filled.withColumn(first, F.when(nothing, F.col("_all")).otherwise(F.col(first))).drop("_all")
+    return out.withColumn("content_hash", content_hash([F.col(n) for n in wanted]))
+
+
+def statute_references(pages: DataFrame, key: str, html: str = "html", site: str = "/", main: str | None = None) -> DataFrame:
+    """(key, ord, act, code, chapter, section, text) of references in list items, in the order of the tree.
+
+    The act is that of the last link before the item that leads to one on `site` (its href holds it and ends in a year and
+    a number); items before any act give nothing, and a link inside an item counts for later items. act is "year/number", code
+    "number/year". A section's chapter is the item's own, else that of the nearest item before it in the same list that begins
+    with one. Of equal references the first stays; one without a chapter stays only as the first of its section.
     """
-    item = r"""(?is)<(a|li)\b([^>]*)>(.*?)</\1\s*>"""
-    found = F.arrays_zip(F.regexp_extract_all(html, F.lit(item), F.lit(2)).alias("attrs"), F.regexp_extract_all(html, F.lit(item), F.lit(3)).alias("inner"))
-    rows = pages.select(key, F.posexplode(found).alias("ord", "x")).select(key, "ord", F.regexp_extract("x.attrs", r"/(\d{4}/\d+)", 1).alias("_act"), plain(F.col("x.inner")).alias("_t"))
-    carried = carry_forward(rows, [key], ["ord"], F.nullif("_act", F.lit("")), "act")
-    chaptered = carry_forward(carried, [key], ["ord"], F.nullif(F.regexp_extract("_t", r"(\d+)\s*luku", 1), F.lit("")), "chapter")
-    each = chaptered.select(key, "ord", "act", "chapter", F.explode(F.regexp_extract_all("_t", F.lit(r"(\d+)\s*§"), F.lit(1))).alias("section"))
-    return first_wins(each, [key, "act", "chapter", "section"], [F.col("ord")])
+    tree = page_elements(pages, key, ("a", "li", "ul", "ol"), html, main)
+    href = F.when(F.col("tag") == "a", html_unescape(attribute(F.col("attrs"), "href")))
+    act = F.when(href.contains(site), statute_code(href))
+    before = lambda *by: Window.partitionBy(key, *by).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    coded = tree.withColumn("_own", act).withColumn("code", F.last("_own", ignorenulls=True).over(before()))
+    number = lambda pattern: F.nullif(F.regexp_extract("text", pattern, 1), F.lit(""))
+    items = coded.where("tag = 'li'").withColumn("_leads", number(r"(?i)^(\d+)\s+luku"))
+    chaptered = items.withColumn("chapter", F.coalesce(number(r"(?i)(\d+)\s*luku"), F.last("_leads", ignorenulls=True).over(before("parent"))).cast("int"))
+    each = chaptered.where("code is not null").select(key, F.col("at").alias("ord"), "code", "chapter", "text", F.posexplode(F.regexp_extract_all("text", F.lit(r"(\d+)\s*§"), F.lit(1))).alias("_nth", "section"))
+    each = each.withColumn("section", F.col("section").cast("int"))
+    place = lambda *by: F.row_number().over(Window.partitionBy(key, "code", "section", *by).orderBy("ord", "_nth"))
+    ranked = each.withColumns({"_first": place(), "_same": place("chapter")})
+    kept = ranked.where(F.when(F.col("chapter").isNull(), F.col("_first") == 1).otherwise(F.col("_same") == 1))
+    parts = F.split("code", "/")
+    return kept.select(key, "ord", F.concat_ws("/", parts[1], parts[0]).alias("act"), "code", "chapter", "section", F.substring("text", 1, 100).alias("text"))
 
 
 def statute_paragraphs(acts: DataFrame, key: str, xml: str = "xml") -> DataFrame:
@@ -158,18 +169,19 @@ def as_text(html: Column) -> Column:
 def chapter_clauses(pages: DataFrame, key: str, container: str, html: str = "html", least: int = 80, footers: tuple[str, ...] = ()) -> DataFrame:
     """(key, ord, section, title, body) of chapter pages: an h2 with a section sign starts a clause.
 
-    Only what follows the opening <div> whose class holds `container`, up to the page's footer, is read; pages without it give
-    nothing. A page without such an h2 is one clause under its h1, if that has a section sign. section is the sign with the
-    number that leads the title, or with ? where none does. Bodies shorter than `least` are dropped; `footers` are cut out.
+    Only what stands inside the first container whose class holds `container` is read, up to its own end; pages without it
+    give nothing. A clause ends at the next such h2 or where the element that its h2 stands in ends. A page without such an
+    h2 is one clause under its h1, if that has a section sign. section is the sign with the number that leads the title,
+    or with ? where none does. Bodies shorter than `least` are dropped; `footers` are cut out.
     """
     clean = F.regexp_replace(F.col(html), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", "")
-    inside = F.regexp_extract(clean, rf"""(?is)<div\b[^>]*class\s*=\s*["'][^"']*{container}[^"']*["'][^>]*>(.*?)(?:<footer\b|</article|</main|</body|$(?![\r\n]))""", 1)
+    inside = inner_html(F.col(html), "class", container)
     rows = pages.select(key, inside.alias("_in"), F.regexp_extract(clean, r"(?is)<h1\b[^>]*>(.*?)</h1\s*>", 1).alias("_h1")).where("_in <> ''")
     heads = F.filter(matches(F.col("_in"), r"(?is)<h2\b[^>]*>(.*?)</h2\s*>", 1), lambda m: m["g"][1].contains("§"))
 
     def cut(found: Column) -> Column:
         end = lambda i: F.coalesce(F.get(found, i + 1)["start"], F.length("_in"))
-        return F.transform(found, lambda m, i: F.struct(plain(m["g"][1]).alias("title"), F.substring(F.col("_in"), m["end"] + 1, end(i) - m["end"]).alias("html")))
+        return F.transform(found, lambda m, i: F.struct(plain(m["g"][1]).alias("title"), siblings(F.substring(F.col("_in"), m["end"] + 1, end(i) - m["end"])).alias("html")))
 
     whole = F.when(F.col("_h1").contains("§"), F.array(F.struct(plain(F.col("_h1")).alias("title"), F.col("_in").alias("html")))).otherwise(F.array().cast("array<struct<title:string,html:string>>"))
     clauses = let(heads, lambda found: F.when(F.size(found) > 0, cut(found)).otherwise(whole))

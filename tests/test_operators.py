@@ -178,7 +178,7 @@ HTML = "<h1>T</h1><p>before</p><h2>First &amp; one</h2><p>a <b>b</b></p><script>
 
 def test_html(spark):
     pages = spark.createDataFrame([(1, "https://a.b/c", HTML)], "page_id int, url string, html string")
-    assert [(r.title, r.body) for r in landing.page_sections(pages, "page_id", "h2", 1).orderBy("section").collect()] == [("First & one", "a b\n\nc"), ("Second", "d\n\nWhy?")]
+    assert [(r.title, r.body) for r in landing.page_sections(pages, "page_id", "h2", 1).orderBy("section").collect()] == [("First & one", "a b\n\nc"), ("Second", "d\n\nWhy?\n\nBecause of it\n\nPDF out")]
     assert [(r.question, r.answer) for r in landing.faq_pairs(pages, "page_id", least=1).collect()] == [("Why?", "Because of it")]
     assert [r.href for r in landing.discover(pages, {"strategy": "all_pdfs"}).collect()] == ["https://a.b/doc.pdf"]
     found = landing.discover(pages, {"marker": "o", "domain": "o.x", "catalog_url": "https://o.x", "depth": 1}).collect()
@@ -193,7 +193,7 @@ def test_statutes(spark):
     assert [(r.chapter, r.chapter_title, r.section, r.section_title, r.text) for r in rows] == [(2, "Pay", 3, "When", "One two ."), (2, "Pay", 3, "When", "Three.")]
     page = "<a href='https://f/laki/2001/20010055'>Act</a><li>2 luku 3 § ja 4 §</li><li>3 §</li>"
     refs = landing.statute_references(spark.createDataFrame([(1, page)], "k int, html string"), "k").orderBy("ord", "section").collect()
-    assert [(r.act, r.chapter, r.section) for r in refs] == [("2001/20010055", "2", "3"), ("2001/20010055", "2", "4")]
+    assert [(r.act, r.code, r.chapter, r.section) for r in refs] == [("2001/55", "55/2001", 2, 3), ("2001/55", "55/2001", 2, 4)]
 
 
 def test_clauses(spark):
