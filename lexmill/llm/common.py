@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import io
 import os
+import re
 import sys
 import tempfile
 import uuid
@@ -25,9 +26,11 @@ BROADCAST_ROWS = 500_000
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """This application's part of the shared folder of the cluster; only where none is set (tests), of a local one."""
+    """This application's part of the shared folder of the cluster; where none is set, of a local one under a local master, else an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", master := spark.sparkContext.master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         root = f"file://{tempfile.gettempdir()}/checkpoints"
     return f"{root.rstrip('/')}/lexmill/{spark.sparkContext.applicationId}"
 

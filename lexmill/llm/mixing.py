@@ -72,7 +72,7 @@ def water_fill(sources: DataFrame, most: float) -> DataFrame:
 def _solve(hist: DataFrame, sources: DataFrame, most: float, tolerance: float = 1e-7, rounds: int = 60) -> DataFrame:
     """(_s, target, scale, tilt): Newton steps on the logarithm of each source's words, kept within a bracket.
 
-    hist: (_s, _n, n). A source whose target is its limit gets a null tilt: all of its documents have `most` copies.
+    A source that is not solved after `rounds` is an error. hist: (_s, _n, n). A source whose target is its limit gets a null tilt: all of its documents have `most` copies.
     """
     state = save(
         sources.withColumns({"scale": F.try_divide(F.col("size").cast("double"), F.col("n_docs")), "tilt": F.when((F.col("size") > 0) & (F.col("target") <= 0), F.lit(NEVER)).when((F.col("size") > 0) & (F.col("target") < most * F.col("size") * (1 - 1e-12)), F.log(F.try_divide(F.col("target"), F.col("size").cast("double"))))})
@@ -97,6 +97,8 @@ def _solve(hist: DataFrame, sources: DataFrame, most: float, tolerance: float =
         step = F.when(F.coalesce(inside, F.lit(False)), newton).otherwise(halved)
         moved = state.join(small(save(sums, "sums"), n_sources), "_s", "left")
         state = save(moved.select("_s", "target", "scale", F.when(F.col("done") | F.coalesce(near, F.lit(True)), F.col("tilt")).otherwise(step).alias("tilt"), F.coalesce(low, "low").alias("low"), F.coalesce(high, "high").alias("high"), (F.col("done") | F.coalesce(near, F.lit(True))).alias("done")), "state")
+    if not state.where("not done").isEmpty():
+        raise ValueError(f"no tilts within {tolerance} of the targets after {rounds} rounds")
     return state.select("_s", "target", "scale", "tilt")
 
 

@@ -95,9 +95,14 @@ def marked_vectors(table: DataFrame) -> DataFrame:
     return rows.withColumns({"h1": F.when(usable, F.xxhash64("label", "v")), "h2": F.when(usable, F.xxhash64("v", "label", F.lit(1)))})
 
 
-def _unit(column: pa.Array, dim: int) -> np.ndarray:
+def _scaled(column: pa.Array, dim: int) -> np.ndarray:
+    """Vectors divided by a power of two near their largest component: squares neither overflow nor vanish, and nothing is rounded."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-    flat = flat / np.abs(flat).max(axis=1, keepdims=True)
+    return np.ldexp(flat, -np.frexp(np.abs(flat).max(axis=1, keepdims=True))[1])
+
+
+def _unit(column: pa.Array, dim: int) -> np.ndarray:
+    flat = _scaled(column, dim)
     return flat / np.linalg.norm(flat, axis=1, keepdims=True)
 
 
@@ -150,9 +155,10 @@ def near_vectors(table: DataFrame, cosine: float = 0.93, recall: float = 0.999)
 
     Vectors link if their labels are equal and their cosine in double precision is at least `cosine`; those that are
     null, zero or hold null or non-finite components, and those without a label, link with nothing. Vectors of
-    another length than their label's first never link with it. Equal vectors of a label are one class: its members
+    different lengths never link. Equal vectors of a label are one class: its members
     link with each other, and classes are compared by one representative. component_id is the smallest vec_id
-    reachable; rows without a vec_id count as links and have the component of their class, if any. Repeated rows stay.
+    reachable; rows without a vec_id count as links and have the component of their class, if any. Repeated rows stay. An
+    empty table gives no rows; other columns are ignored.
     """
     spark = table.sparkSession
     ship(spark)
@@ -217,7 +223,7 @@ def _links_of(classes: DataFrame, dim: int, most: int, cosine: float, recall: fl
         for whole in batches:
             for start in range(0, whole.num_rows, 5000):
                 batch = whole.slice(start, 5000)
-                x, y = (batch.column(k).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) for k in (2, 3))
+                x, y = (_scaled(batch.column(k), dim) for k in (2, 3))
                 dot = (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
                 good = dot >= cosine
                 a, b, more_a, more_b = (batch.column(k).to_numpy(zero_copy_only=False)[good] for k in (0, 1, 5, 4))
