@@ -1,4 +1,4 @@
-"""Topics by keyword rules, manual corrections, and rules with conditions on typed inputs."""
+"""Topics by keyword rules, manual corrections, and tests of links and names."""
 
 from __future__ import annotations
 
@@ -39,17 +39,6 @@ def read_rules(rules: DataFrame, limit: int = 5_000) -> list[Keyword]:
     return [Keyword(r.topic, r.keyword) for r in rows]
 
 
-def topic_by_join(docs: DataFrame, rules: DataFrame, text: str, key: str, short: int = 6) -> DataFrame:
-    """(key, topic) for rule tables too large for an expression: a broadcast nested loop with its size checked."""
-    tested = rules.select("topic", F.lower("keyword").alias("_k"))
-    quoted = F.regexp_replace("_k", r"([^\p{L}\p{N} _])", r"\\$1")
-    whole = F.regexp_like(F.lower(text), F.concat(F.lit(r"(^|[^\p{L}\p{N}_])"), quoted, F.lit(r"([^\p{L}\p{N}_]|$)")))
-    hit = F.contains(F.lower(text), F.col("_k")) & ((F.length("_k") >= short) | whole)
-    met = docs.join(dimension(tested), hit, "left")
-    best = F.max(F.when(F.col("topic").isNotNull(), F.struct(F.length("_k").alias("n"), "topic")))
-    return met.groupBy(key).agg(best.alias("_b")).select(key, F.col("_b.topic").alias("topic"))
-
-
 def title_then_body(title: Column, body: Column, rules: list[Keyword], letters: int = 500) -> Column:
     return F.coalesce(topic_of(title, rules), topic_of(F.substring(body, 1, letters), rules))
 
@@ -82,27 +71,6 @@ def relink(clauses: DataFrame, overrides: DataFrame, rules: list[Keyword], known
     return checked.withColumn("outcome", outcome).drop("_h", "_hit", "_fixed", "_known")
 
 
-def match_rules(requests: DataFrame, inputs: DataFrame, rules: DataFrame, conditions: DataFrame) -> DataFrame:
-    """(request_id, rule_id) of the first rule, by priority from high to low and then by rule_id, whose conditions all hold.
-
-    requests: (request_id, topic); inputs: (request_id, field, num, str); rules: (rule_id, topic, priority); conditions:
-    (rule_id, field, op, num, str) with op eq, lt, lte, gt or gte, others being ignored. A missing input fails every
-    comparison but equality with null. A rule without conditions always holds. Requests no rule fits are left out.
-    """
-    tried = requests.join(dimension(rules), "topic").join(dimension(conditions.withColumnsRenamed({"num": "c_num", "str": "c_str"})), "rule_id", "left")
-    filled = tried.join(inputs.withColumnRenamed("field", "_f"), (F.col("field") == F.col("_f")) & (tried["request_id"] == inputs["request_id"]), "left").drop(inputs["request_id"])
-    equal = F.col("num").eqNullSafe(F.col("c_num")) & F.col("str").eqNullSafe(F.col("c_str"))
-    compared = lambda test: F.coalesce(test, F.lit(False))
-    holds = (
-        F.when(F.col("op") == "eq", equal)
-        .when(F.col("op") == "lt", compared(F.col("num") < F.col("c_num"))).when(F.col("op") == "lte", compared(F.col("num") <= F.col("c_num")))
-        .when(F.col("op") == "gt", compared(F.col("num") > F.col("c_num"))).when(F.col("op") == "gte", compared(F.col("num") >= F.col("c_num")))
-        .otherwise(True))
-    scored = filled.groupBy("request_id", "rule_id", "priority").agg(F.bool_and(holds).alias("ok")).where("ok")
-    best = scored.groupBy("request_id").agg(F.max(F.struct("priority", (-F.col("rule_id")).alias("minus"))).alias("b"))
-    return best.select("request_id", (-F.col("b.minus")).alias("rule_id"))
-
-
 def eligible_url(url: Column, marker: str, domain: str, catalogue: str, depth: int | None = None, excluded: list[str] = ()) -> Column:
     """Links of a catalogue: they hold the marker and the domain, are not the catalogue, nothing excluded, and have the wanted depth."""
     path = F.regexp_replace(F.regexp_replace(url, r"^https?://[^/]+", ""), r"[?#].*$", "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.operators.classify import match_rules
+from lexmill.operators.conditions import match_rules
 from lexmill.operators.lookup import dimension, nest
 
 

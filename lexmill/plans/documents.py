@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions import inference, text, values
-from lexmill.operators import chunks, classify, lookup, merge, ordered, rates, situation
+from lexmill.operators import chunks, classify, keywords, lookup, merge, ordered, rates, situation
+from lexmill.operators.conditions import conditions_of, inputs_of, match_rules
 from lexmill.plans import sql
 from lexmill.plans.registry import Tables, query
 from lexmill.sources import landing
@@ -43,7 +44,7 @@ def c01_topic_detect(t: Tables) -> DataFrame:
 @query(f"with t as ({topic_sql('text')}) select d.doc_id, t.topic from documents d left join t using (doc_id)")
 def j14_contains_join(t: Tables) -> DataFrame:
     rules = t.spark.createDataFrame([(r.topic, r.keyword) for r in RULES], "topic string, keyword string")
-    return classify.topic_by_join(t.documents.select("doc_id", "text"), rules, "text", "doc_id")
+    return keywords.topic_by_index(t.documents.select("doc_id", "text"), rules, "text", "doc_id")
 
 
 @query(f"""with a as ({topic_sql("split_part(text, chr(10), 1)")}), b as ({topic_sql("substring(substring(text, length(split_part(text, chr(10), 1)) + 1), 1, 500)")})
@@ -98,7 +99,24 @@ def c05_rule_match(t: Tables) -> DataFrame:
     inputs = t.events.select(F.col("event_id").alias("request_id"), F.inline(fields))
     rules = t.spark.createDataFrame(RULE_ROWS, "rule_id long, topic string, priority int")
     conditions = t.spark.createDataFrame(CONDITION_ROWS, "rule_id long, field string, op string, num double, str string")
-    return classify.match_rules(requests, inputs, rules, conditions)
+    return match_rules(requests, inputs, rules, conditions)
+
+
+#: Rules with their conditions as JSON: none, a scalar, bounds, a null beside a bound, a field that no input has, and no object at all.
+JSON_RULES = """case n_nationkey % 6 when 0 then '{}' when 1 then concat('{"k": ', n_nationkey, '}') when 2 then concat('{"k": {"gte": ', n_nationkey, ', "lt": ', n_nationkey + 30, '}}')
+when 3 then concat('{"k": {"lte": ', n_nationkey * 4, '.5}, "other": null, "name": {"near": 1}}') when 4 then '{"missing": {"gt": 0}}' else concat('{"flag": true, "who": "u', n_nationkey % 3, '"}') end"""
+
+
+@query("""with r as (select n_nationkey as id, ['click', 'view', 'purchase', 'signup'][n_nationkey % 4 + 1] as topic, n_regionkey as priority, n_nationkey % 6 as kind from nation),
+e as (select event_id, event_type, cast(props->>'$.k' as double) as k, user_id % 2 = 0 as flag, 'u' || (user_id % 3) as who from events),
+m as (select event_id, id, priority from e join r on r.topic = e.event_type where case kind when 0 then true when 1 then k = id when 2 then k >= id and k < id + 30 when 3 then k <= id * 4 + 0.5 when 4 then false else flag and who = 'u' || (id % 3) end)
+select event_id as request_id, cast(arg_min(id, (-priority, id)) as bigint) as rule_id from m group by event_id""")
+def h_json_conditions(t: Tables) -> DataFrame:
+    topic = F.get(F.array(*map(F.lit, ["click", "view", "purchase", "signup"])), F.col("n_nationkey") % 4)
+    rules = t.nation.select(F.col("n_nationkey").cast("long").alias("rule_id"), topic.alias("topic"), F.col("n_regionkey").alias("priority"), F.expr(JSON_RULES).alias("conditions"))
+    given = F.concat(F.rtrim("props", F.lit("}")), F.lit(', "flag": '), (F.col("user_id") % 2 == 0).cast("string"), F.lit(', "who": "u'), F.col("user_id") % 3, F.lit('", "list": [1]}'))
+    asked = t.events.select(F.col("event_id").alias("request_id"), F.col("event_type").alias("topic"), given.alias("inputs"))
+    return match_rules(asked, inputs_of(asked), rules, conditions_of(rules))
 
 
 @query("""with l as (select l_orderkey, count(*) as n from lineitem group by 1), s as (select o_custkey, count(*) as n_sections, sum(coalesce(n, 0)) as n_paragraphs, arg_min(o_orderkey, (-cast(o_orderpriority[1] as int), o_orderkey)) as first_section

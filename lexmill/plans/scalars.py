@@ -12,9 +12,9 @@ from lexmill.plans.registry import Tables, query
 from lexmill.sources import landing
 
 
-@query("select doc_id, replace(replace(replace(replace(replace(text, ' ', ' – '), '—', '-'), '–', '-'), '−', '-'), '­', '') as plain from (select doc_id, substring(text, 1, 200) as text from documents)")
+@query("select doc_id, replace(replace(replace(replace(replace(text, ' ', ' – '), '—', '-'), '–', '-'), '−', '-'), '­', '') as plain from documents")
 def h_dashes(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", text.plain_dashes(F.replace(F.substring("text", 1, 200), F.lit(" "), F.lit(" – "))).alias("plain"))
+    return t.documents.select("doc_id", text.plain_dashes(F.replace("text", F.lit(" "), F.lit(" – "))).alias("plain"))
 
 
 CODE_URL = "concat('https://x.fi/laki/', 1990 + c_custkey % 30, '/', case when c_custkey % 3 = 0 then concat(1990 + c_custkey % 30, lpad(cast(c_custkey % 500 as {0}), 4, '0')) when c_custkey % 3 = 1 then cast(c_custkey as {0}) else 'none' end, case when c_custkey % 2 = 0 then '/' else '' end)"

@@ -5,7 +5,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from lexmill.functions import inference, text
-from lexmill.operators import chunks, classify, lookup, merge, ordered, rates
+from lexmill.operators import chunks, classify, conditions, keywords, lookup, merge, ordered, rates
 from lexmill.sources import landing
 from lexmill.streaming import incremental
 
@@ -26,7 +26,7 @@ def test_topics_by_join_agree(spark):
     texts = [" ".join(rng.choice(["loma", "lomautus", "palkkaa", "Palkat", "x.y"]) for _ in range(rng.randint(0, 4))) for _ in range(60)]
     rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
     rules = spark.createDataFrame([(r.topic, r.keyword) for r in RULES], "topic string, keyword string")
-    found = {r.k: r.topic for r in classify.topic_by_join(rows, rules, "t", "k").collect()}
+    found = {r.k: r.topic for r in keywords.topic_by_index(rows, rules, "t", "k").collect()}
     assert [found[k] for k in range(60)] == topics(spark, *texts)
     assert {(r.topic, r.keyword) for r in classify.read_rules(rules)} == {(r.topic, r.keyword) for r in RULES}
 
@@ -46,7 +46,7 @@ def test_rules_against_a_model(spark):
     conds = [(k, rng.choice("abc"), rng.choice(["eq", "lt", "lte", "gt", "gte", "odd"]), float(rng.randint(0, 4)), None) for k in range(1, 8) for _ in range(rng.randint(0, 3))]
     requests = [(k, "t" if k % 9 else "none") for k in range(80)]
     inputs = [(k, f, float(rng.randint(0, 4)), None) for k, _ in requests for f in "abc" if rng.random() < 0.7]
-    found = {r.request_id: r.rule_id for r in classify.match_rules(spark.createDataFrame(requests, "request_id long, topic string"), spark.createDataFrame(inputs, "request_id long, field string, num double, str string"), spark.createDataFrame(rules, "rule_id long, topic string, priority int"), spark.createDataFrame(conds, "rule_id long, field string, op string, num double, str string")).collect()}
+    found = {r.request_id: r.rule_id for r in conditions.match_rules(spark.createDataFrame(requests, "request_id long, topic string"), spark.createDataFrame(inputs, "request_id long, field string, num double, str string"), spark.createDataFrame(rules, "rule_id long, topic string, priority int"), spark.createDataFrame(conds, "rule_id long, field string, op string, num double, str string")).collect()}
     for k, topic in requests:
         given = {f: v for q, f, v, _ in inputs if q == k}
         fits = [(-p, r) for r, t, p in rules if t == topic and python_match([(f, o, n) for q, f, o, n, _ in conds if q == r], given)]
