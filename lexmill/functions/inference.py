@@ -2,27 +2,45 @@
 
 from __future__ import annotations
 
+import sys
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lexmill.operators.chunks import chunks
 from lexmill.operators.merge import propagate
+from lexmill.operators.publish import counted
+
+
+#: Models that a worker process holds; of more the one loaded first goes.
+HELD_MODELS = 2
 
 
 def translator(load: Callable[[], Callable[[list[str]], list[str]]], batch: int = 8):
-    """A column function that translates; load() runs once a task and gives a function from texts to texts."""
+    """A column function that translates; load() runs once in a worker process and gives a function from texts to texts.
+
+    The model stays with the process for all tasks that it runs. Texts of like length go to the model together, so
+    that a batch is padded little; results come back in the order of the rows. Null and empty texts stay as they are.
+    """
+    name, most = uuid.uuid4().hex, HELD_MODELS
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = load()
+        held = vars(sys).setdefault("_models_of_worker", {})  # what belongs to the process, not to this function's copy
+        if name not in held:
+            while len(held) >= most:
+                held.pop(next(iter(held)))
+            held[name] = load()
+        model = held[name]
         for texts in batches:
             out = texts.tolist()
-            for k in range(0, len(out), batch):
-                filled = [i for i in range(k, min(k + batch, len(out))) if out[i]]
-                for i, text in zip(filled, model([out[i] for i in filled]), strict=True):
+            filled = sorted((i for i, x in enumerate(out) if x), key=lambda i: len(out[i]))
+            for k in range(0, len(filled), batch):
+                some = filled[k : k + batch]
+                for i, text in zip(some, model([out[i] for i in some]), strict=True):
                     out[i] = text
             yield pd.Series(out, dtype=object)
 
@@ -38,12 +56,18 @@ def translate_pending(rows: DataFrame, source: str, target: str, load: Callable,
     return joined.withColumn(target, F.coalesce(target, "_done")).select(*rows.columns)
 
 
-def translation_job(rows: DataFrame, source: str, target: str, load: Callable, limit: int = 500) -> tuple[DataFrame, DataFrame]:
-    """(rows, counts) of a job over pending rows: translated, and skipped where the model gave nothing."""
+def translation_outcomes(rows: DataFrame, source: str, target: str, load: Callable, limit: int = 500) -> DataFrame:
+    """rows after a job over pending ones, with translated and skipped: 1 where the model gave something, or nothing."""
     pending = rows.withColumn("_pending", F.col(target).isNull() & F.col(source).isNotNull())
     done = translate_pending(pending, source, target, load, limit)
     given = F.coalesce(F.col(target), F.lit("")) != ""
-    return done.drop("_pending"), done.where("_pending").agg(F.count_if(given).alias("translated"), F.count_if(~given).alias("skipped"))
+    return done.withColumns({"translated": (F.col("_pending") & given).cast("long"), "skipped": (F.col("_pending") & ~given).cast("long")}).drop("_pending")
+
+
+def translation_job(rows: DataFrame, source: str, target: str, load: Callable, limit: int = 500) -> tuple[DataFrame, Observation]:
+    """(rows, observation) of a job over pending rows: translated and skipped are counted by the pass that writes the rows."""
+    done, seen = counted(translation_outcomes(rows, source, target, load, limit), translated=F.col("translated"), skipped=F.col("skipped"))
+    return done.drop("translated", "skipped"), seen
 
 
 def translate_values(rows: DataFrame, value: str, target: str, load: Callable) -> DataFrame:

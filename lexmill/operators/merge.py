@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from lexmill.operators.lookup import containing
+from lexmill.operators.publish import counted
+
 
 def _same(keys: list[str], a: DataFrame, b: DataFrame) -> Column:
     return reduce(lambda x, y: x & y, (a[k].eqNullSafe(b[k]) for k in keys))
@@ -60,30 +63,48 @@ def last_rows(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def merge_rates(snapshot: DataFrame, found: DataFrame, keys: list[str], order: list[str], links: list[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """(new snapshot, outcome counts) of rates merged by null-safe keys as if one by one in order; the last value wins.
+OUTCOMES = ("created", "updated", "skipped", "rejected")
+
 
-    Rows without a value or effective_from are set aside as rejected. A row that creates a rate or changes its value gives
-    all of its columns; an equal value is skipped, but null link columns are filled from the first row of the key.
+def rate_outcomes(snapshot: DataFrame, found: DataFrame, keys: list[str], order: list[str], links: list[str] = ()) -> DataFrame:
+    """The columns of snapshot with _kept and the counts of OUTCOMES: one row for each key of either side, from one pass over both.
+
+    Rates are merged by null-safe keys as if one by one in order; the last value wins. Rows without a value or
+    effective_from are set aside as rejected. A row that creates a rate or changes its value gives all of its columns; an
+    equal value is skipped, but null link columns are filled from the first row of the key. Keys that have but rejected rows
+    are not kept.
     """
-    good = found.where(F.col("value").isNotNull() & F.col("effective_from").isNotNull())
-    prior = snapshot.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("value").alias("_prior"), F.lit(True).alias("_there"))
-    staged = good.join(prior, reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys)), "left")
-    w = Window.partitionBy(*keys).orderBy(*order)
-    first = F.row_number().over(w) == 1
-    before = F.when(first, F.col("_prior")).otherwise(F.lag("value").over(w))
-    status = F.when(first & F.col("_there").isNull(), "created").when(before.eqNullSafe(F.col("value")), "skipped").otherwise("updated")
-    judged = staged.withColumns({"_status": status, "_first": first})
-    counts = judged.agg(*(F.count_if(F.col("_status") == s).alias(s) for s in ("created", "updated", "skipped")))
-    rejected = found.where(F.col("value").isNull() | F.col("effective_from").isNull()).agg(F.count(F.lit(1)).alias("rejected"))
-    winners = last_rows(judged.where("_status <> 'skipped'"), keys, order).select(*(c if c in found.columns else F.lit(None).cast(snapshot.schema[c].dataType).alias(c) for c in snapshot.columns))
-    none_of = lambda left, right: left.join(right, _same(keys, left, right), "left_anti")
-    merged = none_of(snapshot, winners.select(*keys)).unionByName(winners)
-    if links:
-        fill = judged.where("_first").select(*(F.col(k).alias(f"_k_{k}") for k in keys), *(F.col(c).alias(f"_f_{c}") for c in links))
-        filled = merged.join(fill, reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys)), "left")
-        merged = filled.select(*(F.coalesce(c, f"_f_{c}").alias(c) if c in links else F.col(c) for c in snapshot.columns))
-    return merged, counts.crossJoin(rejected)  # one row each
+    w = Window.partitionBy(*keys, "_good").orderBy(*order)
+    placed = found.withColumn("_good", F.col("value").isNotNull() & F.col("effective_from").isNotNull()).withColumns({"_rn": F.row_number().over(w), "_before": F.lag("value").over(w)})
+    first, good = F.col("_good") & (F.col("_rn") == 1), F.col("_good")
+    moved = good & (F.col("_rn") > 1) & ~F.col("value").eqNullSafe(F.col("_before"))
+    row = F.struct(*(F.col(c) if c in found.columns else F.lit(None).cast(snapshot.schema[c].dataType).alias(c) for c in snapshot.columns))
+    by_key = placed.groupBy(*keys).agg(
+        F.max_by(row, F.when(moved, F.col("_rn"))).alias("_last"), F.max_by(row, F.when(first, F.col("_rn"))).alias("_first"), *(F.max_by(F.col(c), F.when(first, F.col("_rn"))).alias(f"_f_{c}") for c in links),
+        F.count_if(moved).alias("_moved"), F.count_if(good & (F.col("_rn") > 1) & ~moved).alias("_same"), F.count_if(~good).alias("rejected"))
+    new = by_key.select(*(F.col(k).alias(f"_k_{k}") for k in keys), *(c for c in by_key.columns if c not in keys))
+    both = snapshot.withColumn("_there", F.lit(True)).join(new, reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys)), "full_outer")
+    there, given = F.coalesce(F.col("_there"), F.lit(False)), F.col("_first").isNotNull()
+    equal = there & given & F.col("value").eqNullSafe(F.col("_first.value"))
+    count = lambda c: F.coalesce(F.col(c), F.lit(0))
+    winner = F.when(F.col("_last").isNotNull(), F.col("_last")).when(given & ~equal, F.col("_first"))
+    rated = both.withColumns({
+        "_winner": winner, "_kept": there | given, "created": (given & ~there).cast("long"), "updated": count("_moved") + (given & there & ~equal).cast("long"),
+        "skipped": count("_same") + equal.cast("long"), "rejected": count("rejected")})
+    value = lambda c: F.when(F.col("_winner").isNotNull(), F.col(f"_winner.{c}")).otherwise(F.col(c))
+    return rated.select(*((F.coalesce(value(c), f"_f_{c}") if c in links else value(c)).alias(c) for c in snapshot.columns), "_kept", *OUTCOMES)
+
+
+def merge_rates(snapshot: DataFrame, found: DataFrame, keys: list[str], order: list[str], links: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(new snapshot, outcome counts), each from rate_outcomes(); for both from one write see merge_rates_counted()."""
+    rated = rate_outcomes(snapshot, found, keys, order, links)
+    return rated.where("_kept").select(*snapshot.columns), rated.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in OUTCOMES))
+
+
+def merge_rates_counted(snapshot: DataFrame, found: DataFrame, keys: list[str], order: list[str], links: list[str] = ()) -> tuple[DataFrame, Observation]:
+    """(new snapshot, observation): the outcome counts are there when the snapshot has been written, from the same pass."""
+    rated, seen = counted(rate_outcomes(snapshot, found, keys, order, links), **{c: F.col(c) for c in OUTCOMES})
+    return rated.where("_kept").select(*snapshot.columns), seen
 
 
 def fill_nulls(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -143,10 +164,11 @@ def upsert_guidance(old: DataFrame, new: DataFrame, n: int = 50) -> DataFrame:
     """
     head = F.substring("title", 1, n)
     fresh = new.withColumns({"_head": head, "_place": F.xxhash64("topic", "url", head, "hash")})
-    groups = old.select("topic", "url", F.col("title").alias("_title"), "hash")
-    # both sides share topic and link; titles are compared in order of their heads only within such a group
-    met = fresh.select("topic", "url", "_head", "_place").distinct().join(groups.select("topic", "url", "_title").distinct(), ["topic", "url"]).where(F.contains("_title", "_head"))
-    best = met.groupBy("topic", "url", "_head").agg(F.min("_title").alias("_title"))
+    # titles that hold a head are found through the head's longest inner word, not by comparing all of a group
+    titles = old.select("topic", "url", F.col("title").alias("_title")).distinct().withColumn("_tid", F.struct("topic", "url", "_title"))
+    heads = fresh.select("topic", "url", "_head").distinct().withColumn("_hid", F.struct("topic", "url", "_head"))
+    met = containing(titles, "_tid", "_title", heads, "_hid", "_head", ("topic", "url"))
+    best = met.groupBy("_hid").agg(F.min("_tid._title").alias("_title")).select("_hid.*", "_title")
     matched = fresh.join(best, ["topic", "url", "_head"], "left")
     prior = old.select("topic", "url", F.col("title").alias("_title"), F.col("text").alias("_text"), F.col("hash").alias("_hash"))
     both = prior.join(matched, ["topic", "url", "_title"], "full_outer")

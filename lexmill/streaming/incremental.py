@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 from lexmill.functions.text import content_hash
 from lexmill.operators.classify import Keyword, topic_of
 from lexmill.operators.merge import last_rows, upsert
+from lexmill.operators.publish import Store
 
 
 def classified(docs: DataFrame, rules: list[Keyword], text: str = "text") -> DataFrame:
@@ -24,20 +25,26 @@ def merge_batch(old: DataFrame | None, batch: DataFrame, key: str, order: str) -
     return last if old is None else upsert(old, last, [key], "content_hash")
 
 
-def follow(spark: SparkSession, path: str, schema: StructType, rules: list[Keyword], store: str, checkpoint: str, key: str, order: str, run: Callable | None = None, keep: int = 2):
-    """Start a stream over Parquet files that land at path; every batch writes the next snapshot below store as v=<batch>.
+def snapshot_store(schema: StructType, store: str, key: str, buckets: int = 64, keep: int = 2) -> Store:
+    """The store that follow() publishes documents of this schema to: one table, bucketed by the documents' key."""
+    full = StructType([*schema.fields]).add("topic", "string").add("content_hash", "string")
+    return Store(store, {"documents": full}, [key], buckets, keep)
 
-    A batch that is run again writes the same version again, so a restart after a lost driver leaves each document once. The
-    last `keep` versions stay, of which a restart needs two.
+
+def follow(spark: SparkSession, path: str, schema: StructType, rules: list[Keyword], store: Store, checkpoint: str, key: str, order: str, run: Callable | None = None):
+    """Start a stream over Parquet files that land at path; every batch is merged into the store as the manifest of its number.
+
+    A batch rewrites only the buckets of its documents, and readers see it when its manifest is there. A batch that is run
+    again is not published twice, so a restart after a lost driver leaves each document once.
     Returns the query; the trigger takes what is there and ends.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        old = session.read.schema(batch.schema).parquet(f"{store}/v={number - 1}") if number else None
-        merge_batch(old, batch, key, order).write.mode("overwrite").parquet(f"{store}/v={number}")
-        path = session.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store}/v={number - max(keep, 2)}")
-        path.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        kept = batch.persist()  # its buckets are looked up before it is merged
+        try:
+            store.merge(batch.sparkSession, {"documents": kept}, lambda old: {"documents": merge_batch(old["documents"], kept, key, order)}, number)
+        finally:
+            kept.unpersist()
         if run:
             run(number)
 
