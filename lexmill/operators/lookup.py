@@ -139,6 +139,20 @@ def request_status(requests: DataFrame, known: DataFrame, key: str, rows: DataFr
 
 
 def page(df: DataFrame, order: list[Column], size: int, number: int) -> DataFrame:
-    """Page `number` (from 0, clamped to the pages there are) of an ordered result."""
-    pages = max(1, -(-df.count() // size))
-    return df.orderBy(*order).offset(min(max(number, 0), pages - 1) * size).limit(size)
+    """Page `number` (from 0, clamped to the pages there are) of an ordered result: a top-k of its rows, counted only beyond the last page."""
+    at = max(number, 0)
+    found = df.orderBy(*order).offset(at * size).limit(size)
+    if at and found.isEmpty():
+        return page(df, order, size, max(0, -(-df.count() // size) - 1)) if not df.isEmpty() else found
+    return found
+
+
+def page_after(df: DataFrame, keys: list[str], last: tuple | None, size: int) -> DataFrame:
+    """The page that follows the row with these keys, in their ascending order: a filter and a top-k, whatever the page's number.
+
+    The first page follows None. keys are not null and tell rows apart.
+    """
+    beyond = F.lit(last is None)
+    for k, value in reversed(list(zip(keys, last or (), strict=False))):
+        beyond = (F.col(k) > F.lit(value)) | ((F.col(k) == F.lit(value)) & beyond)
+    return df.where(beyond).orderBy(*keys).limit(size)

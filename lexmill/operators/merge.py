@@ -179,6 +179,43 @@ def upsert_guidance(old: DataFrame, new: DataFrame, n: int = 50) -> DataFrame:
     return rated.select("topic", "url", title.alias("title"), F.when(keep, F.col("_text")).otherwise(F.col("text")).alias("text"), F.when(keep, F.col("_hash")).otherwise(F.col("hash")).alias("hash"), "status")
 
 
+def sweep_guidance(old: DataFrame, pages: DataFrame, topics: DataFrame) -> DataFrame:
+    """(topic, source, url, title, text, hash, text_en, status): guidance of a sweep merged by topic and source.
+
+    pages: (topic, source, url, title, text, hash), one a topic and source. Pages of topics that `topics` (topic) lacks and
+    pages without text are skipped and not stored (unknown_topic, empty). An equal hash leaves the old row alone (skipped),
+    another replaces it and resets its translation (updated), a new one is stored (created); what the sweep lacks stays
+    (absent). Rows whose status is unknown_topic or empty say what was skipped; take the others as the next snapshot.
+    """
+    known = topics.select("topic").distinct().withColumn("_known", F.lit(True))
+    judged = pages.join(known, "topic", "left").withColumn("_bad", F.when(F.col("_known").isNull(), "unknown_topic").when(F.trim(F.coalesce("text", F.lit(""))) == "", "empty"))
+    columns = ["topic", "source", "url", "title", "text", "hash", "text_en"]
+    skipped = judged.where("_bad is not null").select(*columns[:-1], F.lit(None).cast("string").alias("text_en"), F.col("_bad").alias("status"))
+    good = judged.where("_bad is null").select(*columns[:-1])
+    merged = upsert(old, good, ["topic", "source"], "hash", reset=["text_en"])
+    status = hash_diff(old, good, ["topic", "source"], "hash").withColumn("status", F.when(F.col("status") == "unchanged", "skipped").otherwise(F.col("status")))
+    named = status.select(F.col("topic").alias("_t"), F.col("source").alias("_s"), "status")
+    return merged.join(named, F.col("topic").eqNullSafe(F.col("_t")) & F.col("source").eqNullSafe(F.col("_s"))).select(*columns, "status").unionByName(skipped)
+
+
+def seed_links(links: DataFrame, seeds: DataFrame, sections: DataFrame) -> DataFrame:
+    """(topic, section_id, relevance, status) of links after seeding: seeds (topic, act, chapter, section, relevance) name sections.
+
+    A seed whose section `sections` (section_id, act, chapter, section) lacks is missing and has no section_id; a link that
+    is there gets the seed's relevance (updated, or unchanged if it has it), another is inserted (created); links no seed
+    names stay (kept). A chapter may be null and then meets a null one. Of several seeds for a link the greatest relevance
+    counts, so seeding again changes nothing. Rows without a section_id are no links.
+    """
+    named = ["act", "chapter", "section"]
+    place = sections.select("section_id", *(F.col(c).alias(f"_{c}") for c in named))
+    found = seeds.join(place, reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in named)), "left")
+    missing = found.where("section_id is null").select("topic", F.lit(None).cast(links.schema["section_id"].dataType).alias("section_id"), "relevance", F.lit("missing").alias("status"))
+    wanted = found.where("section_id is not null").groupBy("topic", "section_id").agg(F.max("relevance").alias("_new"))
+    both = links.select("topic", "section_id", F.col("relevance").alias("_old"), F.lit(True).alias("_there")).join(wanted, ["topic", "section_id"], "full_outer")
+    status = F.when(F.col("_there").isNull(), "created").when(F.col("_new").isNull(), "kept").when(F.col("_new").eqNullSafe(F.col("_old")), "unchanged").otherwise("updated")
+    return both.select("topic", "section_id", F.when(F.col("_new").isNull(), F.col("_old")).otherwise(F.col("_new")).alias("relevance"), status.alias("status")).unionByName(missing)
+
+
 def upsert_acts(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Snapshots of acts, chapters, sections and paragraphs after a parse; and `statuses`, one row a section of the parse.
 

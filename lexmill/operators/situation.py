@@ -29,3 +29,8 @@ def situations(requests: DataFrame, inputs: DataFrame, page: DataFrame, rules: D
     joined = requests.join(dimension(page), "topic").join(dimension(listed), "sector_group", "left").join(answered, "request_id", "left")
     fits = lambda g: F.col("_sectors").isNull() | g["sector"].isNull() | F.array_contains(F.col("_sectors"), g["sector"])
     return joined.withColumn("guidance", F.filter("guidance", fits)).drop("_sectors")
+
+
+def as_json(page: DataFrame, key: str, name: str = "body") -> DataFrame:
+    """(key, body): each row as one JSON object, nulls written out, nested rows as arrays of objects in their order."""
+    return page.select(key, F.to_json(F.struct(*page.columns), {"ignoreNullFields": "false"}).alias(name))

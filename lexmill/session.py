@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,3 +26,18 @@ def get_session(master: str = "local[*]", app: str = "lexmill", **conf: str) ->
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A Parquet table of the data folder; any path that Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the shared folder that spark.checkpoint.dir names, so that its lineage is cut and a lost executor costs little.
+
+    Where none is set, a local folder serves under a local master; on a cluster that is an error.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {context.master} share")
+        context.setCheckpointDir(root or f"file://{tempfile.gettempdir()}/checkpoints")
+    return df.checkpoint()
