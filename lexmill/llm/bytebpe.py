@@ -160,18 +160,18 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids, decoded): packed ids of every whole text, and the bytes that they decode to.
 
     A null or empty text has no ids and decodes to no bytes; repeated rows and null ids stay as they are; extra
-    columns are ignored. The file of the vocabulary must be at `path` on every executor.
+    columns are ignored; an empty table gives no rows. The file of the vocabulary must be at `path` on every executor.
     """
     return _coded(docs, path, pattern, {"ids": "binary", "decoded": "binary"})
 
 
 def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of what encode_documents() gives, worked out where it is made."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of what encode_documents() gives, worked out where it is made; empty tables give no rows."""
     return _coded(docs, path, pattern, {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"})
 
 
 def encode_with_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids)."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids), as encode_digests() and encode_documents() have them."""
     return _coded(docs, path, pattern, {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string", "ids": "binary"})
 
 

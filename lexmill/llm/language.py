@@ -85,18 +85,21 @@ def _cluster(vectors: np.ndarray, clusters: int, rounds: int = 15) -> tuple[np.n
 def train(labelled: DataFrame, clusters: int = 4, max_texts: int = 1000) -> Centroids | None:
     """Centroids from rows (doc_id, text, lang); None if there is nothing to learn from.
 
-    Of each language about `max_texts` texts teach, at most twice as many, chosen by hash of doc_id: the bound of
-    the sample. Texts without a letter and rows without a language teach nothing.
+    Of each language about `max_texts` texts teach, at most twice as many, chosen by hash of doc_id and text: the bound of
+    the sample. They are taken in order of doc_id and text, so a rerun learns the same. Equal rows teach once; texts
+    without a letter and rows without a language teach nothing; an empty table gives None; other columns are ignored.
     """
     ship(labelled.sparkSession)
     usable = labelled.where("lang is not null and text is not null")
     shares = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    place = F.pmod(F.xxhash64("doc_id", F.lit(21)), F.lit(1_000_000)) / 1e6
-    chosen = usable.join(F.broadcast(shares), "lang").where(place < F.lit(max_texts) / F.col("n")).select("lang", "text")  # one row a language
+    rows = usable.select("lang", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("h"))
+    place = F.pmod(F.xxhash64("doc_id", "h", F.lit(21)), F.lit(1_000_000)) / 1e6
+    shared = rows.join(F.broadcast(shares), "lang").where(place < F.lit(max_texts) / F.col("n"))  # one row a language
+    chosen = shared.dropDuplicates(["lang", "doc_id", "h"]).select("lang", "text", "doc_id", "h")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, slots, values = [], [], []
+            langs, slots, values, at_rows = [], [], [], []
             for k in range(batch.num_rows):
                 text = batch.column(1)[k].as_py()
                 if has_letter(text):
@@ -105,9 +108,11 @@ def train(labelled: DataFrame, clusters: int = 4, max_texts: int = 1000) -> Cent
                     langs.append(batch.column(0)[k].as_py())
                     slots.append(at.astype(np.int32))
                     values.append(counts[at])
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(slots, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))], ["lang", "slots", "counts"])
+                    at_rows.append(k)
+            own = [batch.column(c).take(pa.array(at_rows, pa.int64())) for c in (2, 3)]
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), *own, pa.array(slots, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))], ["lang", "doc_id", "h", "slots", "counts"])
 
-    sample = save(chosen.mapInArrow(features, "lang string, slots array<int>, counts array<double>"), "features")
+    sample = save(chosen.mapInArrow(features, "lang string, doc_id long, h long, slots array<int>, counts array<double>"), "features")
     total = sample.count()
     if not total:
         return None
@@ -116,7 +121,7 @@ def train(labelled: DataFrame, clusters: int = 4, max_texts: int = 1000) -> Cent
         idf[slot] = 1 + np.log((1 + total) / (1 + n))
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.head(2 * max_texts)
+        group = group.sort_values(["doc_id", "h"]).head(2 * max_texts)
         dense = np.zeros((len(group), WIDTH))
         for k, (slots, counts) in enumerate(zip(group["slots"], group["counts"], strict=True)):
             dense[k, np.asarray(slots)] = np.log1p(np.asarray(counts))
@@ -133,7 +138,8 @@ def predict(docs: DataFrame, model: Centroids | None, keep: tuple[str, ...] = ("
     """The kept columns with lang_pred, score (cosine with the nearest centroid, 0 to 1) and rejected.
 
     lang_pred is `und` with score 0 for a null text or one without a letter, or if nothing was learned. Ties go to the
-    language that sorts first. Repeated rows and null ids stay as they are; other columns are dropped.
+    language that sorts first. Repeated rows and null ids stay as they are; other columns are dropped, whatever their names;
+    an empty table gives no rows.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +158,8 @@ def predict(docs: DataFrame, model: Centroids | None, keep: tuple[str, ...] = ("
                 yield pa.RecordBatch.from_arrays(columns, [*keep, "lang_pred", "score", "rejected"])
 
     ship(docs.sparkSession)
-    rows = docs.select(*keep, F.col("text").cast("string").alias("text"))
+    own = "_" * (1 + max(map(len, keep), default=0)) + "text"  # no kept column's name
+    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").cast("string").alias(own))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return rows.mapInArrow(work, f"{kinds}, lang_pred string, score double, rejected boolean")
 

@@ -94,7 +94,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every whole text.
 
     A null or empty text has no bytes and no tokens; repeated rows and null ids stay as they are; extra columns
-    are ignored. The model must be at `path` on every executor.
+    are ignored; an empty table gives no rows. The model must be at `path` on every executor.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -186,6 +186,9 @@ def write_shards(docs: DataFrame, shards: int, path: str) -> None:
 def shard_digest(docs: DataFrame, shards: int) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) without moving the texts.
 
+    Slots are gapless from 0 in each shard; they follow ranges of the doc_id's hash, and rows of a group of more than
+    TASK_ROWS alike rows come after the others, so their order is no promise.
+
     Nulls, repeated rows and empty tables are as in shard_documents(); the crc32 of a null text is that of an empty one;
     extra columns are ignored.
     """

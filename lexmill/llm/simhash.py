@@ -223,7 +223,11 @@ def fingerprint_links(prints: DataFrame, distance: int = 4, block: int = BLOCK)
 
 
 def simhash_rows(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
-    """(doc_id, t1, t2, fp, root) of every row; root, a fingerprint, is the same throughout a component."""
+    """(doc_id, t1, t2, fp, root) of every row; root, a fingerprint, is the same throughout a component.
+
+    Null and wordless texts have the fingerprint zero; null doc_ids and repeated rows stay as they are; an empty table gives
+    no rows; other columns are ignored.
+    """
     with batches_of(docs.sparkSession, 2000):
         rows = save(fingerprints(docs, width), "fingerprints")
     classes = save(rows.select("fp").distinct(), "classes")
