@@ -91,7 +91,7 @@ class MarkovModel:
     def mean_ratio(self, token: Column) -> Column:
         table = F.split(F.lit(",".join(f"{x:.4f}" for x in self.ratios)), ",").cast("array<double>")
         of_block = lambda b: F.aggregate(_steps(b), F.lit(0.0), lambda acc, k: acc + F.get(table, k))
-        total = F.aggregate(_overlapping(token), F.lit(0.0), lambda acc, b: acc + of_block(b))
+        total = F.when(F.length(token) <= BLOCK, of_block(token)).otherwise(F.aggregate(_overlapping(token), F.lit(0.0), lambda acc, b: acc + of_block(b)))
         return total / (F.length(token) - 1)
 
 
@@ -176,10 +176,14 @@ def train(samples: DataFrame, margin: float = 0.15) -> MarkovModel:
     """
     letters = len(ALPHABET)
     known = save(samples.where(F.col("token").isNotNull() & F.col("secret").isNotNull() & F.col("token").rlike("^[A-Za-z0-9+/_=-]{2,}$")).select("token", "secret", (F.pmod(F.xxhash64("token"), F.lit(3)) == 0).alias("held")), "samples")
-    counts = known.where(~F.col("held") | F.col("secret") | (F.length("token") >= 2000)).select("secret", F.explode(F.flatten(F.transform(_overlapping(F.col("token")), _steps))).alias("step")).groupBy("secret", "step").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 2 * letters^2 rows
+    taught = known.where(~F.col("held") | F.col("secret") | (F.length("token") >= 2000))
+    # pairs of letters are exploded and counted in compiled code; a token of several blocks is cut into them first
+    cut = taught.where(F.length("token") > BLOCK).select("secret", F.explode(_overlapping(F.col("token"))).alias("token"))
+    blocks = taught.where(F.length("token") <= BLOCK).select("secret", "token").unionAll(cut.where(F.length("token") > 1))
+    pairs = blocks.select("secret", "token", F.explode(F.sequence(F.lit(1), F.length("token") - 1)).alias("i")).select("secret", F.substring("token", F.col("i"), F.lit(2)).alias("pair"))
     seen = {True: [0.0] * letters**2, False: [0.0] * letters**2}
-    for row in counts:
-        seen[row.secret][row.step] = row.n
+    for row in pairs.groupBy("secret", "pair").agg(F.count(F.lit(1)).alias("n")).collect():  # at most 2 * letters^2 rows
+        seen[row.secret][ALPHABET.index(row.pair[0]) * letters + ALPHABET.index(row.pair[1])] = row.n
 
     def log_rates(of: list[float]) -> list[float]:
         out = []
