@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.plans import documents, lookups, more, scalars, snapshots, sweeps, wordings
+from lexmill.plans import documents, lookups, more, scalars, snapshots, sweeps, variants, wordings
 from lexmill.plans.registry import ORACLES, QUERIES, Tables
 
 
@@ -22,4 +22,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
-__all__ = ["documents", "flagship", "lookups", "more", "oracle_sql", "queries", "scalars", "snapshots", "sweeps", "wordings"]
+__all__ = ["documents", "flagship", "lookups", "more", "oracle_sql", "queries", "scalars", "snapshots", "sweeps", "variants", "wordings"]
