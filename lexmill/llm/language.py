@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import save, ship
+from lexmill.llm.common import batches_of, released, save, ship
 
 #: Slots of hashed n-grams.
 WIDTH = 4096
@@ -98,7 +98,7 @@ def train(labelled: DataFrame, clusters: int = 4, max_texts: int = 1000) -> Cent
     chosen = shared.dropDuplicates(["lang", "doc_id", "h"]).select("lang", "text", "doc_id", "h")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             langs, slots, values, at_rows = [], [], [], []
             for k in range(batch.num_rows):
                 text = batch.column(1)[k].as_py()
@@ -112,7 +112,8 @@ def train(labelled: DataFrame, clusters: int = 4, max_texts: int = 1000) -> Cent
             own = [batch.column(c).take(pa.array(at_rows, pa.int64())) for c in (2, 3)]
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), *own, pa.array(slots, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))], ["lang", "doc_id", "h", "slots", "counts"])
 
-    sample = save(chosen.mapInArrow(features, "lang string, doc_id long, h long, slots array<int>, counts array<double>"), "features")
+    with batches_of(labelled.sparkSession, 500):
+        sample = save(chosen.mapInArrow(features, "lang string, doc_id long, h long, slots array<int>, counts array<double>"), "features")
     total = sample.count()
     if not total:
         return None
@@ -143,7 +144,7 @@ def predict(docs: DataFrame, model: Centroids | None, keep: tuple[str, ...] = ("
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in released(batches):
             for start in range(0, whole.num_rows, 128):
                 batch = whole.slice(start, 128)
                 texts = batch.column(len(keep)).to_pylist()
@@ -161,7 +162,8 @@ def predict(docs: DataFrame, model: Centroids | None, keep: tuple[str, ...] = ("
     own = "_" * (1 + max(map(len, keep), default=0)) + "text"  # no kept column's name
     rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").cast("string").alias(own))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(work, f"{kinds}, lang_pred string, score double, rejected boolean")
+    with batches_of(docs.sparkSession, 1000):
+        return save(rows.mapInArrow(work, f"{kinds}, lang_pred string, score double, rejected boolean"), "predicted")
 
 
 def held_out_fold(docs: DataFrame) -> DataFrame:
