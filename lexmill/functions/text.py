@@ -161,9 +161,12 @@ def absolute_url(href: Column, base: Column) -> Column:
 
 
 def statute_code(url: Column) -> Column:
-    """number/year from a link that ends in the year and the number, the number with or without the year before it."""
+    """number/year from a link that ends in the year and the number, the number with or without the year before it.
+
+    Before a number of four digits, zeros among them, the year is not part of it: 20010055 is 55, but 200155 is a number of its own.
+    """
     year, number = F.regexp_extract(url, r"/(\d{4})/(\d+)/?$", 1), F.regexp_extract(url, r"/(\d{4})/(\d+)/?$", 2)
-    bare = F.when((F.length(number) > 4) & number.startswith(year), F.substring(number, 5, 20)).otherwise(number)
+    bare = F.when((F.length(number) == 8) & number.startswith(year), F.substring(number, 5, 20)).otherwise(number)
     return F.when(year != "", F.concat(F.try_to_number(F.coalesce(F.nullif(F.regexp_replace(bare, "^0+", ""), F.lit("")), F.lit("0")), F.lit("9999999999")).cast("string"), F.lit("/"), year))
 
 

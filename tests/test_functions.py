@@ -32,6 +32,13 @@ def test_links_and_markup(spark):
     assert one(spark, text.markdown_table(rows)) == "| h | k |\n| --- | --- |\n| 1 |  |\n| 2 | 3 |"
 
 
+def test_statute_numbers_that_begin_like_their_year(spark):
+    code = lambda x: one(spark, text.statute_code(F.col("x")), x=x)
+    assert code("https://x.fi/laki/1991/199111") == "199111/1991" and code("https://x.fi/laki/2012/20122/") == "20122/2012"
+    assert code("https://x.fi/laki/2001/20010000") == "0/2001" and code("https://x.fi/laki/2001/2001") == "2001/2001"
+    assert code("https://x.fi/laki/2001/20020055") == "20020055/2001"
+
+
 def test_matches_have_places(spark):
     found = one(spark, text.matches(F.col("x"), r"(a+)(b)?", 2), x="é🙂aab-a")
     assert [(m.start, m.end, m.g) for m in found] == [(2, 5, ["aab", "aa", "b"]), (6, 7, ["a", "a", ""])]
