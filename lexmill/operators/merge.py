@@ -122,6 +122,17 @@ def new_versions(old: DataFrame, new: DataFrame, key: str, url: str) -> DataFram
     return kept.unionByName(fresh.withColumn("is_current", F.lit(True)), allowMissingColumns=True)
 
 
+def _left_join_spread(rows: DataFrame, key: str, spread: str, other: DataFrame, other_key: str) -> DataFrame:
+    """rows left joined with other on a key that is null where rows come from one side of an outer join.
+
+    Null keys match nothing, but a join on the key alone would send all of them to one task: where it is null, `spread` tells
+    the task instead.
+    """
+    place = F.when(F.col(key).isNotNull(), F.xxhash64(key)).otherwise(F.xxhash64(spread))
+    hashed = other.withColumn("_at", F.xxhash64(other_key))
+    return rows.join(hashed, (F.col(key) == F.col(other_key)) & (place == F.col("_at")), "left").drop("_at")
+
+
 def agreement_versions(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(new snapshot, status by url) of agreements (url, key, name, hash, valid_from, valid_until, is_parsed, is_current).
 
@@ -140,7 +151,7 @@ def agreement_versions(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataF
     changed = reduce(lambda a, b: a | b, [*dates, renamed, ~F.col("o_is_parsed")])
     current = old.where("is_current").select(F.col("key").alias("_key")).distinct().withColumn("_had", F.lit(True))
     status = F.when(same, F.when(changed, "updated").otherwise("skipped")).when(known & given, "updated").when(F.col("_had"), "updated").otherwise("created")
-    marked = both.join(current, F.col("n_key") == F.col("_key"), "left").withColumns({"_status": F.when(given, status), "_clear": known & given & ~same})
+    marked = _left_join_spread(both, "n_key", "o_url", current, "_key").withColumns({"_status": F.when(given, status), "_clear": known & given & ~same})
     retired = marked.where(~known).select(F.col("n_key").alias("_gone")).distinct()
     value = {
         "url": F.coalesce("o_url", "n_url"), "key": F.when(known, F.col("o_key")).otherwise(F.col("n_key")),
@@ -150,7 +161,7 @@ def agreement_versions(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataF
         "is_parsed": F.when(known & given, F.lit(True)).when(known, F.col("o_is_parsed")).otherwise(F.lit(False)),
         "is_current": F.when(~known, F.lit(True)).otherwise(F.col("o_is_current") & F.col("_gone").isNull()),
     }
-    placed = marked.join(retired, F.col("o_key") == F.col("_gone"), "left")
+    placed = _left_join_spread(marked, "o_key", "n_url", retired, "_gone")
     snapshot = placed.select(*(value[c].alias(c) for c in old.columns))
     return snapshot, marked.where(given).select(F.col("n_url").alias("url"), F.col("_status").alias("status"), F.col("_clear").alias("clear_clauses"))
 

@@ -218,3 +218,22 @@ def test_stream_of_documents_merges_by_hash(spark, tmp_path):
         assert run or store.read(spark, "documents", before=1).count() == 2
     got = {r.id: (r.text, r.topic) for r in store.read(spark, "documents").collect()}
     assert got == {1: ("palkka", "pay"), 2: ("loma on", "leave"), 3: ("muu", None)}
+
+
+def test_new_versions_do_not_gather_in_one_task(spark):
+    """Links without an old row have no old key to be joined by."""
+    kinds = {"url": "long", "key": "long", "name": "string", "hash": "string", "valid_from": "string", "valid_until": "string", "is_parsed": "boolean", "is_current": "boolean"}
+    both = lambda n, at: spark.range(n).select(*(F.lit(v).cast(kinds[c]).alias(c) for c, v in (("name", "n"), ("hash", "h"), ("valid_from", None), ("valid_until", None), ("is_parsed", True), ("is_current", True))), (F.col("id") + at).alias("url"), (F.col("id") % 500).alias("key")).select(*kinds)
+    old, new = both(100, 0), both(4000, 90).drop("is_parsed", "is_current")
+    held = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        rows = merge.agreement_versions(old, new)[0].withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    tasks = [r.task for r in rows]
+    assert len(rows) == 4090 and max(map(tasks.count, set(tasks))) < 1000
+    assert sum(r.is_current for r in rows) == 3990
