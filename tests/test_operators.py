@@ -250,3 +250,12 @@ def test_chunks_of_a_text_do_not_each_carry_it(spark):
     assert found[0] == found[1] == long.replace("e", "3").replace("\n", " ")
     assert [found[k] for k in range(2, 8)] == [None, "", None, "s33", "done", ""]
     assert "Generate" not in done._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_job_counts_move_no_text_to_be_counted(spark):
+    rows = spark.createDataFrame([(1, "a b", None), (2, "a b", None), (3, "x", None), (4, None, None), (5, "a b", "done")], "k int, t string, en string")
+    load = lambda: lambda some: [x.upper() if " " in x else None for x in some]
+    counts = inference.translation_outcomes(rows, "t", "en", load).agg(F.sum("translated").alias("translated"), F.sum("skipped").alias("skipped"))
+    assert tuple(counts.first()) == (2, 1)
+    joins = [x for x in counts._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x]
+    assert len(joins) == 1 and "_digest" in joins[0]
