@@ -1,8 +1,10 @@
 """Near copies by exact Jaccard similarity of word shingles.
 
-Candidates share a band of MinHash values; their lengths must not rule the similarity out, and their SimHash fingerprints
-must pass the pigeonring chain test and then the full Hamming check of simhash.within() at FAR bits; the shingle sets of
-the whole texts decide. Every candidate pair is compared unless links already connect its ends:
+Candidates come from op8's own step, and from MinHash bands beside it for the near copies that its 4 bits do not reach: texts
+whose fingerprints simhash.fingerprint_links() joins by pigeonring chains are in one group, as are texts that share a band
+of MinHash values. Their lengths must not rule the similarity out, and SimHash fingerprints of their sets must pass the
+pigeonring chain test and then the full Hamming check of simhash.within() at FAR bits; the shingle sets of the whole texts
+decide. A group of either kind is called a band below. Every candidate pair is compared unless links already connect its ends:
 first each text with the least one of its band, then, in bands that still hold several components, every text
 outside the component of the least one with all others. These are compared within tasks, a block of texts against a
 block, and only links that join two trees leave a task; so pairs of a large group are never rows. A band of many texts
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.common import BROADCAST_ROWS, batches_of, released, save, ship, small
 from lexmill.llm.components import Forest, connected_components
-from lexmill.llm.simhash import keep_first, text_keys, within
+from lexmill.llm.simhash import fingerprint, fingerprint_links, keep_first, text_keys, within
 
 #: Words of a shingle, and the least similarity of near copies.
 WIDTH, SIMILAR = 5, 0.8
@@ -93,13 +95,15 @@ def sketch(found: np.ndarray) -> tuple[int, np.ndarray]:
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in released(batches):
-        sizes, made = [], []
+        prints, sizes, made = [], [], []
         for k in range(batch.num_rows):
-            found = shingles(batch.column(2)[k].as_py())
+            text = batch.column(2)[k].as_py()
+            prints.append(fingerprint(text))
+            found = shingles(text)
             sizes.append(len(found))
             made.append(sketch(found))
         keys = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1) * BANDS, pa.int32()), pa.array(np.concatenate([m[1] for m in made]) if made else np.zeros(0, np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([m[0] for m in made], pa.int64()), pa.array(sizes, pa.int64()), keys], ["t1", "t2", "fp", "size", "keys"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.int64()), pa.array([m[0] for m in made], pa.int64()), pa.array(sizes, pa.int64()), keys], ["t1", "t2", "print", "fp", "size", "keys"])
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,18 +293,26 @@ def _marked(members: DataFrame, links: DataFrame, name: str) -> DataFrame:
     return save(marked.select("key", "node", "fp", "size", "first", "component", (F.col("component") != F.coalesce("_root", "_head")).alias("outside")), f"{name}_marked")
 
 
+def _ringed(nodes: DataFrame) -> DataFrame:
+    """nodes with ring, the same where op8 fingerprints (print) are linked by pigeonring chains at op8's 4 bits, and where they are equal."""
+    linked = connected_components(fingerprint_links(save(nodes.select(F.col("print").alias("fp")).distinct(), "prints")))
+    parts = save(linked.select(F.col("node").alias("print"), F.col("component").alias("_part")), "rings")
+    named = nodes.join(small(parts, parts.count()), "print", "left")
+    return named.withColumn("ring", F.xxhash64(F.coalesce("_part", "print"), F.lit("ring")))
+
+
 def near_copy_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, t1, t2) of the distinct texts, and (a, b): enough links between nodes to connect all near copies that share a band.
+    """(node, t1, t2) of the distinct texts, and (a, b): enough links between nodes to connect all near copies that share a ring of fingerprints or a band.
 
     Null and wordless texts are one node each and link with each other; an empty table gives none; other columns are ignored.
     """
     ship(docs.sparkSession)
     texts = docs.select(*text_keys(), F.col("text").cast("string").alias("text"))
     with batches_of(docs.sparkSession, 2000):
-        rows = save(texts.mapInArrow(_sketches, "t1 long, t2 long, fp long, size long, keys array<long>"), "sketches")
+        rows = save(texts.mapInArrow(_sketches, "t1 long, t2 long, print long, fp long, size long, keys array<long>"), "sketches")
     one = save(rows.dropDuplicates(["t1", "t2"]).withColumn("node", F.monotonically_increasing_id()), "distinct_sketches")
     nodes = one.select("node", "t1", "t2")
-    keyed = one.select("node", "fp", "size", F.lit(True).alias("first"), F.explode("keys").alias("key"))
+    keyed = _ringed(one).select("node", "fp", "size", F.lit(True).alias("first"), F.explode(F.concat("keys", F.array("ring"))).alias("key"))
     members, links = _stars(docs, nodes, keyed, "star")
     marked = _marked(members, links, "star")
     crowds = save(marked.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("outside").alias("open")).where(F.col("open") & (F.col("n") > HOT)).select("key"), "crowds")

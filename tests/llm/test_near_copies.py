@@ -1,10 +1,11 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexmill.llm import nearcopies
+from lexmill.llm import nearcopies, simhash
 from tests.llm.conftest import AWKWARD, documents
 
 
@@ -136,3 +137,26 @@ def test_a_band_of_many_unlike_texts(spark, monkeypatch):
     found = {r.doc_id: r.component_id for r in nearcopies.near_copy_groups(documents(spark, rows + pairs)).collect()}
     assert found == {k: k for k in range(4000)} | {4000 + k: k * 50 for k in range(60)}
     assert asked["open"] + asked["finer"] < 400_000  # all with all in their bands would be millions for each of 25
+
+
+def test_pigeonring_finds_candidates_without_bands(spark, monkeypatch):
+    """Near copies within op8's 4 bits are found by its chains alone."""
+    rng = random.Random(4)
+    words = [f"{a}{b}{c}" for a in "bdfgklmnprst" for b in "aeiou" for c in "lmnrst"]
+    rows = []
+    for k in range(6):
+        base = rng.choices(words, k=3000)
+        pair = [" ".join(base), " ".join([*base[:1500], "changed", *base[1501:]])]
+        x, y = map(simhash.fingerprint, pair)
+        if ((x ^ y) & (2**64 - 1)).bit_count() <= 4:
+            rows += [(10 * k + j, text, "en", "s") for j, text in enumerate(pair)]
+    sketches = nearcopies._sketches
+
+    def bandless(batches):
+        for batch in sketches(batches):
+            none = pa.array([[] for _ in range(batch.num_rows)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], none], batch.schema.names)
+
+    monkeypatch.setattr(nearcopies, "_sketches", bandless)
+    found = {r.doc_id: r.component_id for r in nearcopies.near_copy_groups(documents(spark, rows)).collect()}
+    assert len(rows) >= 8 and found == {d: d // 10 * 10 for d, *_ in rows}
