@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.functions.text import let
+
 #: Rows that a side may have to be broadcast; its rows are counted first.
 BROADCAST_ROWS = 200_000
 
@@ -48,24 +50,38 @@ def starts_like(column: Column, text: Column, n: int = 50) -> Column:
 WORDS = r"[\p{L}\p{N}_]+"
 INNER_WORDS = r"(?<=[^\p{L}\p{N}_])[\p{L}\p{N}_]+(?=[^\p{L}\p{N}_])"
 
+#: Words in a row that documents and heads meet by: one word of a language is in most texts, three of them in few.
+RUN = 3
+
 
 def containing(docs: DataFrame, key: str, text: str, items: DataFrame, item: str, head: str, same: tuple[str, ...] = ()) -> DataFrame:
     """(key, item) of the documents whose text contains an item's head; `same` columns must be equal as well.
 
-    A head's longest word with other characters on both sides stands in every text that contains the head, so it is the
-    key of an equal join; the pairs that meet are then tested. Only heads without such a word are tested on all
-    documents, which needs few of them. Nulls contain nothing; repeated rows count once.
+    A head's words with other characters on both sides stand as one run in every text that contains the head, so the
+    longest RUN of them in a row are the key of an equal join, as one number with the `same` columns; the pairs that meet
+    are then tested. Heads with fewer such words are found by the longest one, and only those without any are tested on
+    all documents, which needs few of them. Nulls contain nothing; repeated rows count once.
     """
-    longest = F.array_max(F.transform(F.regexp_extract_all(head, F.lit(INNER_WORDS), F.lit(0)), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    wanted = items.where(F.col(head).isNotNull()).select(F.col(item).alias("_item"), F.col(head).alias("_head"), longest.alias("_word"), *same)
-    words = docs.select(F.col(key).alias("_key"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(WORDS), F.lit(0)))).alias("_word"), *same)
-    met = words.join(wanted.where("_word is not null"), ["_word", *same]).select("_key", "_item", "_head").distinct()
+    inner = F.regexp_extract_all(head, F.lit(INNER_WORDS), F.lit(0))
+    longest = lambda parts: F.array_max(F.transform(parts, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    wanted = items.where(F.col(head).isNotNull()).select(F.col(item).alias("_item"), F.col(head).alias("_head"), let(inner, lambda ws: F.coalesce(longest(_runs(ws)), longest(ws))).alias("_word"), (F.size(inner) >= RUN).alias("_long"), *same)
+    words = F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))
+    hashed = lambda word: F.xxhash64(word, *(F.col(c) for c in same))
+    keyed = lambda rows: rows.select(hashed(F.col("_word")).alias("_at"), "_item", "_head", *same)
+    grams = lambda found: docs.select(F.col(key).alias("_key"), F.explode(F.array_distinct(F.transform(found, hashed))).alias("_at"))
+    few = dimension(keyed(wanted.where("_word is not null and not _long")))
+    met = grams(let(words, _runs)).join(keyed(wanted.where("_long")), "_at").unionByName(grams(words).join(few, "_at")).select("_key", "_item", "_head", *same).distinct()
     texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), *same)
-    near = met.join(texts.select("_key", "_text"), "_key").where(F.col("_text").contains(F.col("_head")))
+    near = met.join(texts, ["_key", *same]).where(F.col("_text").contains(F.col("_head")))
     bare = texts.join(dimension(wanted.where("_word is null")), reduce(lambda a, b: a & b, (texts[c] == wanted[c] for c in same), F.col("_text").contains(F.col("_head"))))
     return near.select("_key", "_item").unionAll(bare.select("_key", "_item")).distinct().select(F.col("_key").alias(key), F.col("_item").alias(item))
 
 
+def _runs(words: Column) -> Column:
+    """All runs of RUN words of an array in a row, joined by spaces; none where it has fewer."""
+    return F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - RUN + 1, F.lit(0))), lambda w, i: F.concat_ws(" ", w, *(F.get(words, i + k) for k in range(1, RUN))))
+
+
 def in_or_source(column: Column, values: list, source: Column, name: str) -> Column:
     """column IN values OR source = name in three-valued logic; no values, no filter."""
     return column.isin(values) | (source == name) if values else F.lit(True)

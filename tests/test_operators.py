@@ -259,3 +259,29 @@ def test_job_counts_move_no_text_to_be_counted(spark):
     assert tuple(counts.first()) == (2, 1)
     joins = [x for x in counts._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x]
     assert len(joins) == 1 and "_digest" in joins[0]
+
+
+def test_heads_that_share_a_word_do_not_meet_all_documents(spark):
+    """The longest word is in every text and head; heads of few words, of none and under other topics are found as before."""
+    texts = [f"begin {k} of an understanding between part{k} and part{k + 1} of it" for k in range(300)] + ["a (b) c", "...!?...", None]
+    docs = spark.createDataFrame([(k, x, "s" if k != 7 else None) for k, x in enumerate(texts)], "k int, x string, topic string")
+    heads = [x[4:56] for x in texts[:300]] + ["(b)", "!?.", "of an understanding between", None]
+    items = spark.createDataFrame([(k, x, "s") for k, x in enumerate(heads)], "i int, h string, topic string")
+    held = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        found = lookup.containing(docs, "k", "x", items, "i", "h", ("topic",))
+        pairs = sorted(map(tuple, found.collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert pairs == sorted((d, i) for d, x in enumerate(texts) for i, h in enumerate(heads) if x and h and d != 7 and h in x)
+    made, todo = [], [found._jdf.queryExecution().executedPlan()]
+    while todo:
+        plan = todo.pop()
+        if "Join" in plan.nodeName():
+            made.append(plan.metrics().apply("numOutputRows").value())
+        todo += [plan.children().apply(k) for k in range(plan.children().size())]
+    assert made and max(made) < 2000
